@@ -108,6 +108,16 @@ select event_id as sample_id, cast(event_id%25 as int) as camera_id, event_type
     "alerts": """
 select event_id as alert_id, case event_id%3 when 0 then 'Watchlist Alert' when 1 then 'Unknown Vehicle' else 'Low Confidence Read' end as alert_type,
        case event_id%3 when 2 then 'medium' else 'high' end as severity, event_id%25%5+1 as gate_id, ts as created_at, event_id%4=0 as is_read from events where event_type='error'""",
+    "texts": """
+select event_id as read_id, ts, case event_id%16 when 0 then lower(concat(substr(p,1,4),' ',substr(p,5,6))) when 1 then concat('IND', p)
+       when 2 then concat('IN', p) when 3 then concat('1', p) when 4 then concat('E', p) when 5 then concat('XX', p)
+       when 6 then concat(p, '1') when 7 then concat(p, 'I') when 8 then concat(substr(p,1,5), substr(p,7,4))
+       when 9 then concat(substr(p,1,4), substr(p,7,4)) when 10 then concat('0L', substr(p,3,8))
+       when 11 then concat(substr(p,7,2), 'BH', substr(p,7,4), substr(p,5,1))
+       when 12 then concat(substr(p,1,4), 'ABC', substr(p,7,4)) when 13 then translate(p, '0158', 'OISB')
+       when 14 then concat(substr(p,1,4), '-T', substr(p,5,6)) else substr(p, 1, cast(event_id%9 as int)) end as text,
+       cast(55 + (event_id*37)%45 as double)/100 as confidence, user_id
+from (select e.event_id, e.ts, e.user_id, v.plate_number as p from events e join veh v on v.vehicle_id = e.user_id)""",
     "history": """
 select trip_id, 1 as seq, 'scheduled' as to_status, expected_arrival as ts from trips
 union all select trip_id, 2, 'inside_plant', actual_entry_time from trips where actual_entry_time is not null

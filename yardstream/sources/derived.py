@@ -242,3 +242,25 @@ def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "ts as created_at",
         "event_id%4=0 as is_read",
     )
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reader texts of many shapes: prefixes, border marks, short and long plates, confusions."""
+    e, v = table(spark, sf_dir, "events"), vehicles(spark, sf_dir)
+    return (
+        e.join(v, F.col("user_id") == F.col("vehicle_id"))
+        .withColumnRenamed("plate_number", "p")
+        .selectExpr(
+            "event_id as read_id",
+            "ts",
+            """case event_id%16 when 0 then lower(concat(substr(p,1,4),' ',substr(p,5,6))) when 1 then concat('IND', p)
+               when 2 then concat('IN', p) when 3 then concat('1', p) when 4 then concat('E', p) when 5 then concat('XX', p)
+               when 6 then concat(p, '1') when 7 then concat(p, 'I') when 8 then concat(substr(p,1,5), substr(p,7,4))
+               when 9 then concat(substr(p,1,4), substr(p,7,4)) when 10 then concat('0L', substr(p,3,8))
+               when 11 then concat(substr(p,7,2), 'BH', substr(p,7,4), substr(p,5,1))
+               when 12 then concat(substr(p,1,4), 'ABC', substr(p,7,4)) when 13 then translate(p, '0158', 'OISB')
+               when 14 then concat(substr(p,1,4), '-T', substr(p,5,6)) else substr(p, 1, cast(event_id%9 as int)) end as text""",
+            "cast(55 + (event_id*37)%45 as double)/100 as confidence",
+            "user_id",
+        )
+    )
