@@ -89,3 +89,28 @@ def sorted_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column
     whole, and the sort is Spark's external sort.
     """
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(scan, schema)
+
+
+def neighbour_row(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, columns: Sequence[str], out: str, step: int = -1
+) -> DataFrame:
+    """Add struct ``out`` with ``columns`` of the preceding (``step=-1``) or following row per key.
+
+    ``bucket`` must be non-decreasing along ``order``.
+    """
+    b = f"_{out}_bucket"
+    row, rank = F.struct(*columns), F.struct(*order)
+    shift = F.lag if step < 0 else F.lead
+    edge = F.max_by(row, rank) if step < 0 else F.min_by(row, rank)
+    df = df.withColumn(b, bucket)
+    carried = (
+        df.groupBy(*keys, b)
+        .agg(edge.alias("_edge"))
+        .select(*keys, b, shift("_edge").over(Window.partitionBy(*keys).orderBy(b)).alias("_carried"))
+    )
+    return (
+        df.withColumn(out, shift(row).over(Window.partitionBy(*keys, b).orderBy(*order)))
+        .join(carried, [*keys, b])
+        .withColumn(out, F.coalesce(out, "_carried"))
+        .drop(b, "_carried")
+    )
