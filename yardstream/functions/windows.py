@@ -81,14 +81,20 @@ def split_by_size(df: DataFrame, keys: Sequence[str], limit: int) -> tuple[DataF
     return df.join(large, list(keys), "left_anti"), df.join(large, list(keys), "left_semi")
 
 
+def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Hash-partition by ``keys`` into the session's shuffle partitions, not coalesced by size."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def sorted_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], scan, schema: str) -> DataFrame:
     """Run ``scan`` over rows hash-partitioned by ``keys`` and sorted within them.
 
     ``scan`` receives the Arrow batches of a partition as pandas frames.  It
-    keeps only its own small state between batches: no group is ever held
-    whole, and the sort is Spark's external sort.
+    keeps only its own small state between batches: no group is ever held whole,
+    and the sort is Spark's external sort.  The partition count is given
+    explicitly because these stages are bound by work per row, not by bytes.
     """
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(scan, schema)
+    return spread(df, keys).sortWithinPartitions(*keys, *order).mapInPandas(scan, schema)
 
 
 def neighbour_row(
@@ -114,3 +120,31 @@ def neighbour_row(
         .withColumn(out, F.coalesce(out, "_carried"))
         .drop(b, "_carried")
     )
+
+
+def busy_spells(df: DataFrame, keys: Sequence[str], order: str, gap: int, width: int, out: str) -> DataFrame:
+    """Add ``out``: the first ``order`` value of the spell a row belongs to.
+
+    A spell ends where the next distinct value of ``order`` of the key is more
+    than ``gap`` away.  State that fades within ``gap`` never crosses spells,
+    so they are independent units of work.  Slices of ``width`` keep a hot key
+    parallel.
+    """
+    keys = list(keys)
+    slice_ = F.floor(F.col(order) / width)
+    points = previous_value(df.select(*keys, order).distinct(), keys, order, slice_, "_prev")
+    opens = F.col("_prev").isNull() | (F.col(order) - F.col("_prev") > gap)
+    points = points.select(*keys, order, slice_.alias("_slice"), F.when(opens, F.col(order)).alias("_open"))
+    inner = Window.partitionBy(*keys, "_slice").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = (
+        points.groupBy(*keys, "_slice")
+        .agg(F.max("_open").alias("_last"))
+        .select(*keys, "_slice", F.max("_last").over(before).alias("_before"))
+    )
+    spells = (
+        points.withColumn("_in", F.max("_open").over(inner))
+        .join(carried, [*keys, "_slice"])
+        .select(*keys, order, F.coalesce("_in", "_before").alias(out))
+    )
+    return df.join(spells, [*keys, order])

@@ -78,3 +78,117 @@ def plate_regions(boxes: DataFrame, width: int, height: int) -> DataFrame:
     df = df.withColumn("sw", clip(F.col("w0"), F.lit(1.0), width - F.col("sx"))).withColumn("sh", clip(F.col("h0"), F.lit(1.0), height - F.col("sy")))
     df = df.filter((F.col("sw") >= 25) & (F.col("sh") >= 7))
     return df.select("frame_id", "box_id", "label", *[F.round(c, 4).alias(c) for c in ("sx", "sy", "sw", "sh")])
+
+
+# --- overlaps -------------------------------------------------------------------
+def box_pairs(boxes: DataFrame) -> DataFrame:
+    """Geometry of every box against the next box of its frame."""
+    a = boxes.select("frame_id", "box_id", *[F.col(c).alias(f"a_{c}") for c in ("x1", "y1", "x2", "y2")])
+    b = boxes.select("frame_id", (F.col("box_id") - 1).alias("box_id"), *[F.col(c).alias(f"b_{c}") for c in ("x1", "y1", "x2", "y2")])
+    p, q = G.box("a_"), G.box("b_")
+    _, _, w, h = G.to_xywh(p)
+    return a.join(b, ["frame_id", "box_id"]).select(
+        "frame_id", "box_id", w.alias("w"), h.alias("h"), G.area(p).alias("area"),
+        G.iou(p, q).alias("iou"), G.center_distance(p, q).alias("center_distance"), G.containment(p, q).alias("containment"),
+    )
+
+
+def plates_in_vehicles(plates: DataFrame, vehicles: DataFrame, margin: float = 25.0, min_share: float = 0.40, cell: float = 128.0) -> DataFrame:
+    """(frame_id, plate_id, vehicle_id) pairs: plate centre in the widened vehicle box, or
+    more than ``min_share`` of the plate covered.
+
+    Both conditions need the plate to touch the widened vehicle box, so boxes
+    meet per grid cell of a frame instead of per frame.  A pair seen in several
+    cells is taken in the one holding the corner of its overlap.
+    """
+    def cells(b: G.Box, grow: float) -> Column:
+        xs = F.sequence(F.floor((b[0] - grow) / cell), F.floor((b[2] + grow) / cell))
+        ys = F.sequence(F.floor((b[1] - grow) / cell), F.floor((b[3] + grow) / cell))
+        return F.explode(F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: F.struct(x.alias("cx"), y.alias("cy"))))))
+
+    names = ("x1", "y1", "x2", "y2")
+    p = plates.select("frame_id", "plate_id", *[F.col(c).alias(f"p_{c}") for c in names], cells(G.box(), 0.0).alias("c"))
+    v = vehicles.select("frame_id", "vehicle_id", *[F.col(c).alias(f"v_{c}") for c in names], cells(G.box(), margin).alias("c"))
+    pb, vb = G.box("p_"), G.box("v_")
+    owner_x = F.floor(F.greatest(pb[0], vb[0] - margin) / cell)
+    owner_y = F.floor(F.greatest(pb[1], vb[1] - margin) / cell)
+    return (
+        p.join(v, ["frame_id", "c"])
+        .filter((F.col("c.cx") == owner_x) & (F.col("c.cy") == owner_y))
+        .filter(G.center_inside(pb, vb, margin) | (G.containment(pb, vb) > min_share))
+        .select("frame_id", "plate_id", "vehicle_id")
+    )
+
+
+# --- suppression -----------------------------------------------------------------
+def _suppress_scan(keys: list[str], iou_limit: float, iou_inclusive: bool, contain_limit: float | None):
+    """Greedy suppression of boxes arriving by frame and falling confidence."""
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, kept = None, np.empty((0, 4))
+        for pdf in batches:
+            coords = pdf[["x1", "y1", "x2", "y2"]].to_numpy(dtype=float)
+            frames = list(zip(*(pdf[k].to_list() for k in keys)))
+            flags = np.zeros(len(pdf), dtype=bool)
+            for i, frame in enumerate(frames):
+                if frame != current:
+                    current, kept = frame, np.empty((0, 4))
+                b = coords[i]
+                w = np.minimum(kept[:, 2], b[2]) - np.maximum(kept[:, 0], b[0])
+                h = np.minimum(kept[:, 3], b[3]) - np.maximum(kept[:, 1], b[1])
+                inter = np.where((w > 0) & (h > 0), w * h, 0.0)
+                area = max(1.0, (b[2] - b[0]) * (b[3] - b[1]))
+                areas = np.maximum(1.0, (kept[:, 2] - kept[:, 0]) * (kept[:, 3] - kept[:, 1]))
+                iou = inter / (area + areas - inter)
+                hit = iou >= iou_limit if iou_inclusive else iou > iou_limit
+                if contain_limit is not None:
+                    hit |= inter / np.minimum(area, areas) >= contain_limit
+                if not (hit & (inter > 0)).any():
+                    flags[i] = True
+                    kept = np.vstack([kept, b])
+            yield pdf[flags]
+
+    return scan
+
+
+def suppress_boxes(
+    boxes: DataFrame,
+    iou_limit: float = 0.35,
+    contain_limit: float | None = 0.50,
+    iou_inclusive: bool = True,
+    keys: Sequence[str] = ("frame_id",),
+    head: int = 256,
+) -> DataFrame:
+    """Non-maximum suppression per frame: the surviving boxes.
+
+    The ``head`` most confident boxes of a frame are settled first.  Only a
+    frame with more boxes has a rest; its boxes hit by a settled survivor are
+    dropped in parallel, and the few left are settled among themselves.
+    """
+    from pyspark.sql import Window
+
+    keys = list(keys)
+    columns = boxes.columns
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in boxes.schema)
+    order = [F.desc("confidence"), F.col("box_id")]
+    scan = _suppress_scan(keys, iou_limit, iou_inclusive, contain_limit)
+    ranked = boxes.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    top = ranked.filter(F.col("_rank") <= head)
+    first = sorted_scan(top.select(*columns), keys, order, scan, schema)
+    cut = top.filter(F.col("_rank") == head).select(*keys, F.col("confidence").alias("_c"), F.col("box_id").alias("_b"))
+    names = ("x1", "y1", "x2", "y2")
+    settled = first.join(cut, keys, "left_semi").groupBy(*keys).agg(F.collect_list(F.struct(*names)).alias("_kept"))
+
+    def hits(k: Column) -> Column:
+        a, b = G.box(), (k["x1"], k["y1"], k["x2"], k["y2"])
+        inter = G.intersection(a, b)
+        area, other = F.greatest(F.lit(1.0), G.area(a)), F.greatest(F.lit(1.0), G.area(b))
+        iou = inter / (area + other - inter)
+        hit = iou >= iou_limit if iou_inclusive else iou > iou_limit
+        if contain_limit is not None:
+            hit = hit | (inter / F.least(area, other) >= contain_limit)
+        return hit & (inter > 0)
+
+    later = (F.col("confidence") < F.col("_c")) | ((F.col("confidence") == F.col("_c")) & (F.col("box_id") > F.col("_b")))
+    rest = boxes.join(cut, keys).filter(later).join(settled, keys).filter(~F.exists("_kept", hits)).select(*columns)
+    return first.unionByName(sorted_scan(rest, keys, order, scan, schema))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from yardstream.functions.windows import DAY_MICROS, micros
+from yardstream.functions.windows import DAY_MICROS, micros, spread
 
 _NONE = -(2**62)
 
@@ -230,7 +230,7 @@ def dedup_passages(
     )
     # 4. mark
     marked = rows.join(entries, chunk, "left")
-    marked = marked.repartition(*chunk).sortWithinPartitions(*chunk, "_t", "_id")
+    marked = spread(marked, chunk).sortWithinPartitions(*chunk, "_t", "_id")
     schema = StructType([*marked.schema.fields, *longs("accepted_id")])
     marked = marked.mapInArrow(_accept_scan(chunk, window), schema)
     return marked.select(*columns, "accepted_id").unionByName(passed.select(*columns, "accepted_id"))

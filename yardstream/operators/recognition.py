@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from yardstream.functions.plate_rules import CLIP_LOOSE, CLIP_STRICT, SERVICE, VIDEO, normalize_plates, validate_plates
-from yardstream.functions.windows import micros, previous_value, sorted_scan
+from yardstream.functions.windows import busy_spells, micros, sorted_scan
 
 
 def best_candidate(df: DataFrame, keys: Sequence[str], text: str, confidence: str, order: str) -> DataFrame:
@@ -135,11 +135,7 @@ def near_duplicates(
     window = int(window_seconds * 1_000_000)
     names = [camera, track, plate, event_id]
     rows = df.select(*names, micros(F.col(ts)).alias("_t"))
-    times = rows.select(camera, "_t").distinct()
-    times = previous_value(times, [camera], "_t", F.floor(F.col("_t") / max(window * 64, 3_600_000_000)), "_prev")
-    starts = times.filter(F.col("_prev").isNull() | (F.col("_t") - F.col("_prev") > window)).select(camera, "_t", F.lit(1).alias("_start"))
-    spells = _spell_start(times.select(camera, "_t").join(starts, [camera, "_t"], "left"), camera, max(window * 64, 3_600_000_000))
-    rows = rows.join(spells, [camera, "_t"])
+    rows = busy_spells(rows, [camera], "_t", window, max(window * 64, 3_600_000_000), "_spell")
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, recent = None, []
@@ -160,20 +156,3 @@ def near_duplicates(
     kind = df.schema[event_id].dataType.simpleString()
     flagged = sorted_scan(rows, [camera, "_spell"], ["_t", event_id], scan, f"{event_id} {kind}, is_duplicate boolean")
     return df.join(flagged, event_id)
-
-
-def _spell_start(times: DataFrame, camera: str, width: int) -> DataFrame:
-    """Start of the busy spell each distinct time of a camera belongs to."""
-    from pyspark.sql import Window
-
-    b = F.floor(F.col("_t") / width)
-    mark = F.when(F.col("_start") == 1, F.col("_t"))
-    df = times.withColumn("_b", b).withColumn("_mark", mark)
-    inner = Window.partitionBy(camera, "_b").orderBy("_t").rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy(camera).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    carried = df.groupBy(camera, "_b").agg(F.max("_mark").alias("_m")).select(camera, "_b", F.max("_m").over(before).alias("_before"))
-    return (
-        df.withColumn("_in", F.max("_mark").over(inner))
-        .join(carried, [camera, "_b"])
-        .select(camera, "_t", F.coalesce("_in", "_before").alias("_spell"))
-    )
