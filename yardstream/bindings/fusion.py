@@ -139,7 +139,7 @@ cand as (select s.*, case when v.voted is not null and cnt >= 2 and (wvalid or w
 ranked as (select *, row_number() over (partition by track_id order by round(cnt*3.5 + cnt::double/total*20.0 + ao*30.0 + mo*10.0 + ap*10.0
      + case when valid then 25.0 else 0.0 end + case when plate[1:2] in {_S} then 15.0 else 0.0 end, 9) desc, cluster) as rn,
    count(*) over (partition by track_id) as cands,
-   round(greatest(0.10, least(0.99, ao*0.40 + cnt::double/total*0.25 + syn*0.25 + least(1.0, cnt/{float(min_obs)})*0.10)), 2) as confidence, round(cnt::double/total, 2) as agreement from cand),
+   round(round(greatest(0.10, least(0.99, ao*0.40 + cnt::double/total*0.25 + syn*0.25 + least(1.0, cnt/{float(min_obs)})*0.10)), 9), 2) as confidence, round(cnt::double/total, 2) as agreement from cand),
 win as (select *, cands >= 2 and agreement < {min_agree} and cnt <= 1 as conflict from ranked where rn = 1),
 decided as (select *, case when ((cnt >= {min_obs} and confidence >= {min_conf} and agreement >= {min_agree}) {loose}) and not conflict {forced} then 'finalized' else '{'manual_review' if force else 'pending'}' end as status from win),
 kinds as (select track_id, arg_max(vehicle_class, frame_number) as vehicle_type from frames group by 1)
