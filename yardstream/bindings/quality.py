@@ -55,8 +55,8 @@ select ['vehicle','plate','ocr','fusion','store'][camera_id%5+1] as stage, count
  round(min(response_time_ms),2) as min_ms, round(max(response_time_ms),2) as max_ms, round(quantile_cont(response_time_ms,0.95),4) as p95_ms, round(quantile_cont(response_time_ms,0.99),4) as p99_ms,
  round(1000.0/avg(response_time_ms),2) as fps from health group by 1""",
     "stage_breakdown": """
-select event_id%50 as video_id, count(*) as frames_processed, 3*count(*) as frames_skipped, count(*) filter (event_id%3=0) as ocr_calls, round(avg(value),4) as avg_vehicle_ms, round(avg(value*0.5),4) as avg_plate_ms,
- coalesce(round(avg(case when event_id%3=0 then value*2 end),4),0.0) as avg_ocr_ms, round(sum(value*1.5 + case when event_id%3=0 then value*2 else 0.0 end)/count(*),4) as avg_frame_ms,
- round(count(*)/greatest(0.001, sum(value*1.5 + case when event_id%3=0 then value*2 else 0.0 end)/1000),4) as fps from events group by 1""",
+select event_id%50 as video_id, count(*) as frames_processed, 3*count(*) as frames_skipped, count(*) filter (event_id%3=0) as ocr_calls, round(avg(value),6) as avg_vehicle_ms, round(avg(value*0.5),6) as avg_plate_ms,
+ coalesce(round(avg(case when event_id%3=0 then value*2 end),6),0.0) as avg_ocr_ms, round(sum(value*1.5 + case when event_id%3=0 then value*2 else 0.0 end)/count(*),6) as avg_frame_ms,
+ round(count(*)/greatest(0.001, sum(value*1.5 + case when event_id%3=0 then value*2 else 0.0 end)/1000),6) as fps from events group by 1""",
 }
 ORACLE = {k: with_views(v, recursive="walk as (" in v) for k, v in ORACLE.items()}

@@ -96,7 +96,7 @@ def stage_breakdown(frames: DataFrame, keys: Sequence[str]) -> DataFrame:
     n, calls = F.count("*"), F.count("ocr_ms")
     return frames.groupBy(*keys).agg(
         n.alias("frames_processed"), (F.sum("frame_step") - n).alias("frames_skipped"), calls.alias("ocr_calls"),
-        F.round(F.avg("vehicle_ms"), 4).alias("avg_vehicle_ms"), F.round(F.avg("plate_ms"), 4).alias("avg_plate_ms"),
-        F.coalesce(F.round(F.avg("ocr_ms"), 4), F.lit(0.0)).alias("avg_ocr_ms"), F.round(total / n, 4).alias("avg_frame_ms"),
-        F.round(n / F.greatest(F.lit(0.001), total / 1000), 4).alias("fps"),
+        F.round(F.avg("vehicle_ms"), 6).alias("avg_vehicle_ms"), F.round(F.avg("plate_ms"), 6).alias("avg_plate_ms"),
+        F.coalesce(F.round(F.avg("ocr_ms"), 6), F.lit(0.0)).alias("avg_ocr_ms"), F.round(total / n, 6).alias("avg_frame_ms"),
+        F.round(n / F.greatest(F.lit(0.001), total / 1000), 6).alias("fps"),
     )
