@@ -1,15 +1,13 @@
 """Declared schemas of the 24 register tables.
 
-Identifiers are long, measures double, times zone-less timestamps (UTC).
+DDL strings as accepted by ``spark.read.schema``.  Identifiers are long, measures double, times zone-less timestamps (UTC).
 """
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
-
 _STAMPS = "created_at timestamp_ntz, updated_at timestamp_ntz"
 
-_DDL = {
+TABLES: dict[str, str] = {
     "roles": f"id long, name string, description string, {_STAMPS}",
     "users": f"id long, role_id long, name string, email string, password_hash string, is_active boolean, {_STAMPS}",
     "transporters": f"id long, name string, contact_person string, phone string, email string, is_active boolean, {_STAMPS}",
@@ -64,5 +62,3 @@ _DDL = {
         total_denied int, total_reviews int, total_alerts int, avg_dwell_minutes double,
         calculated_at timestamp_ntz""",
 }
-
-TABLES: dict[str, StructType] = {name: StructType.fromDDL(ddl) for name, ddl in _DDL.items()}

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -49,24 +48,24 @@ class _Overstay(StatefulProcessor):
         self.handle = handle
         self.due = handle.getValueState("due", "due long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows))
-        if pdf["is_closed"].any():
-            if self.due.exists():
-                self.handle.deleteTimer(self.due.get()[0])
-                self.due.clear()
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        changes = list(rows)
+        known = self.due.get()
+        if known:
+            self.handle.deleteTimer(known[0])
+        if any(r["is_closed"] for r in changes):
+            self.due.clear()
         else:
-            due = int(pdf["due_us"].max()) // 1000
-            if self.due.exists():
-                self.handle.deleteTimer(self.due.get()[0])
+            due = max(r["due_us"] for r in changes) // 1000
             self.due.update((due,))
             self.handle.registerTimer(due)
-        yield pd.DataFrame({"trip_id": [], "due_ms": []})
+        return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        due = self.due.get()[0] if self.due.exists() else None
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        known = self.due.get()
         self.due.clear()
-        yield pd.DataFrame({"trip_id": [key[0]] if due else [], "due_ms": [due] if due else []})
+        if known:
+            yield Row(trip_id=key[0], due_ms=known[0])
 
     def close(self) -> None:
         pass
@@ -80,7 +79,7 @@ def overstay_timers(changes: DataFrame, delay: str = "0 seconds") -> DataFrame:
     use_rocksdb(changes.sparkSession)
     timed = changes.withColumns({"event_time": F.col("ts").cast("timestamp"), "due_us": micros(F.col("expected_departure"))})
     timed = timed.select("trip_id", "event_time", "due_us", "is_closed").withWatermark("event_time", delay)
-    fired = timed.groupBy("trip_id").transformWithStateInPandas(
+    fired = timed.groupBy("trip_id").transformWithState(
         statefulProcessor=_Overstay(), outputStructType="trip_id long, due_ms long", outputMode="Append", timeMode="EventTime"
     )
     return fired.select("trip_id", F.timestamp_millis("due_ms").cast("timestamp_ntz").alias("due_at"), F.lit("Overstay").alias("alert_type"), F.lit("high").alias("severity"))

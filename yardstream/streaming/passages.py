@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StructField, StructType
@@ -24,25 +23,23 @@ class _LastAccepted(StatefulProcessor):
         self.handle = handle
         self.last = handle.getValueState("last", "at long, id long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values(["t_us", self.event_id], kind="stable")
-        state = self.last.get() if self.last.exists() else None
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        state = self.last.get()
         at, who = (state[0], state[1]) if state else (None, None)
-        before, owner = at, []
-        for t, i in zip(pdf["t_us"].to_list(), pdf[self.event_id].to_list()):
-            if at is None or t - at > self.window:
-                at, who = t, i
-            owner.append(who)
+        before = at
+        for r in sorted(rows, key=lambda r: (r["t_us"], r[self.event_id])):
+            if at is None or r["t_us"] - at > self.window:
+                at, who = r["t_us"], r[self.event_id]
+            yield Row(**{c: r[c] for c in self.columns[:-1]}, accepted_id=who)
         if at != before:
-            self.last.update((int(at), int(who)))
+            self.last.update((at, who))
             self.handle.registerTimer((at + self.window) // 1000 + 1)
-        yield pdf.assign(accepted_id=owner)[self.columns]
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        state = self.last.get() if self.last.exists() else None
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        state = self.last.get()
         if state and (state[0] + self.window) // 1000 + 1 <= expiredTimerInfo.getExpiryTimeInMs():
             self.last.clear()
-        yield pd.DataFrame(columns=self.columns)
+        return iter(())
 
     def close(self) -> None:
         pass
@@ -73,7 +70,7 @@ def dedup_stream(
         .withWatermark("event_time", delay)
     )
     out = StructType([*events.schema.fields, StructField("accepted_id", LongType())])
-    return timed.groupBy("state_key", *keys[1:]).transformWithStateInPandas(
+    return timed.groupBy("state_key", *keys[1:]).transformWithState(
         statefulProcessor=_LastAccepted(window_seconds * 1_000_000, event_id, [*columns, "accepted_id"]),
         outputStructType=out, outputMode="Append", timeMode="EventTime",
     )
