@@ -246,24 +246,34 @@ def confidence_gate(confidence: Column, floor: float = 0.40) -> Column:
 
 
 # --- normalisation -------------------------------------------------------------
-def _known_state(code: Column, p: PlateProfile) -> Column:
-    return code.isin(*p.states, *p.fix_keys())
+def _quoted(items) -> str:
+    return ", ".join(f"'{i}'" for i in items)
 
 
-def _strip_prefix(c: Column, p: PlateProfile) -> Column:
-    n = F.length(c)
-    first_known = _known_state(F.substring(c, 2, 2), p)
-    has_lead = (n >= 11) & F.substring(c, 1, 1).isin(*p.lead)
+def _known_state(text: str, start: int, p: PlateProfile) -> Column:
+    """Whether two characters of a text column are a state or a misread one."""
+    return F.expr(f"substr(`{text}`, {start}, 2) in ({_quoted([*p.states, *p.fix_keys()])})")
+
+
+def is_state(text: str, states) -> Column:
+    """Whether the text column starts with one of ``states``."""
+    return F.expr(f"substr(`{text}`, 1, 2) in ({_quoted(states)})")
+
+
+def _strip_prefix(text: str, p: PlateProfile) -> Column:
+    c, n = F.col(text), F.length(text)
+    first_known = _known_state(text, 2, p)
+    has_lead = (n >= 11) & F.expr(f"substr(`{text}`, 1, 1) in ({_quoted(p.lead)})")
     rest = (
         F.when(c.startswith("IND") & (n >= 7), c.substr(F.lit(4), n))
-        .when(c.startswith("IN") & (n >= 8) & _known_state(F.substring(c, 3, 2), p), c.substr(F.lit(3), n))
+        .when(c.startswith("IN") & (n >= 8) & _known_state(text, 3, p), c.substr(F.lit(3), n))
     )
     if p.lead_exclusive:
         rest = rest.when(has_lead, F.when(first_known, c.substr(F.lit(2), n)).otherwise(c))
     else:
         rest = rest.when(has_lead & first_known, c.substr(F.lit(2), n))
     if p.drop_two:
-        rest = rest.when((n >= 12) & _known_state(F.substring(c, 3, 2), p), c.substr(F.lit(3), n))
+        rest = rest.when((n >= 12) & _known_state(text, 3, p), c.substr(F.lit(3), n))
     return rest.otherwise(c)
 
 
@@ -289,7 +299,7 @@ def normalize_plates(
     p = _profile(profile)
     raw, cut = f"_{out}_raw", f"_{out}_cut"
     df = df.withColumn(raw, plate_clean(F.col(text)))
-    df = df.withColumn(cut, F.when(F.length(raw) < 4, F.lit("")).otherwise(_strip_prefix(F.col(raw), p)))
+    df = df.withColumn(cut, F.when(F.length(raw) < 4, F.lit("")).otherwise(_strip_prefix(raw, p)))
     done = _strip_tail(F.col(cut), p)
     if not faithful:
         keep = F.col(cut).rlike(BY_LENGTH[11]) | F.col(cut).rlike(BHARAT)
@@ -298,13 +308,11 @@ def normalize_plates(
 
 
 # --- validation ------------------------------------------------------------------
-def _fix_state(code: Column, p: PlateProfile, keep_valid: bool) -> Column:
-    fixed = None
-    for target, keys in p.fixes:
-        hit = code.isin(*keys.split())
-        fixed = F.when(hit, F.lit(target)) if fixed is None else fixed.when(hit, F.lit(target))
-    fixed = fixed.otherwise(code)
-    return F.when(code.isin(*p.states), code).otherwise(fixed) if keep_valid else fixed
+def _fix_state(code: str, p: PlateProfile, keep_valid: bool) -> Column:
+    """The state meant by a two-character column."""
+    keep = f"when `{code}` in ({_quoted(p.states)}) then `{code}`" if keep_valid else ""
+    fixes = " ".join(f"when `{code}` in ({_quoted(keys.split())}) then '{target}'" for target, keys in p.fixes)
+    return F.expr(f"case {keep} {fixes} else `{code}` end")
 
 
 def _any_pattern(c: Column, patterns: tuple[str, ...]) -> Column:
@@ -337,7 +345,7 @@ def validate_plates(
     c, n = F.col(n_col), F.length(n_col)
     mid = F.translate(c.substr(F.lit(5), n - 8), *p.letters)
     df = df.withColumn(lead, F.translate(F.substring(c, 1, 2), *p.letters))
-    df = df.withColumn(strict, _fix_state(F.col(lead), p, keep_valid=True))
+    df = df.withColumn(strict, _fix_state(lead, p, keep_valid=True))
     df = df.withColumn(
         body,
         F.when(
@@ -353,14 +361,14 @@ def validate_plates(
     if any(length == 11 for length, _ in p.length_rules):
         keep = keep | ((n == 11) & F.concat(F.col(strict), F.col(body)).rlike(BY_LENGTH[11]))
     df = df.withColumn(
-        state, F.when(keep, F.col(strict)).otherwise(_fix_state(F.col(lead), p, keep_valid=False))
+        state, F.when(keep, F.col(strict)).otherwise(_fix_state(lead, p, keep_valid=False))
     )
     plate = f"{out}_plate"
     whole = F.concat(F.col(state), F.col(body))
     if not faithful:
         whole = F.when(c.rlike(BHARAT), c).otherwise(whole)
     df = df.withColumn(plate, F.when(n < 4, c).otherwise(whole))
-    known = F.col(state).isin(*p.states)
+    known = is_state(state, p.states)
     conf = F.when(n < 4, F.lit(0.0))
     if not faithful:
         conf = conf.when(c.rlike(BHARAT), F.lit(p.pattern_conf[0]))
@@ -389,13 +397,14 @@ def _class_count(part: Column, chars: str) -> Column:
 
 
 def _validate_browser(df: DataFrame, text: str, out: str, p: PlateProfile) -> DataFrame:
-    raw, cut, fixed, count = (f"_{out}_{s}" for s in ("raw", "cut", "fixed", "count"))
+    raw, cut, lead, fixed, count = (f"_{out}_{s}" for s in ("raw", "cut", "lead", "fixed", "count"))
     df = df.withColumn(raw, plate_clean(F.col(text)))
     usable = F.length(raw).between(4, 15)
-    df = df.withColumn(cut, _strip_tail(_strip_prefix(F.col(raw), p), p))
+    df = df.withColumn(cut, _strip_tail(_strip_prefix(raw, p), p))
     c, n = F.col(cut), F.length(cut)
-    head = F.translate(F.substring(c, 1, 2), *p.letters)
-    state = _fix_state(head, p, keep_valid=True)
+    df = df.withColumn(lead, F.translate(F.substring(c, 1, 2), *p.letters))
+    head = F.col(lead)
+    state = _fix_state(lead, p, keep_valid=True)
     rto, series, number = F.substring(c, 3, 2), c.substr(F.lit(5), n - 8), c.substr(n - 3, F.lit(4))
     corrected = F.concat(
         state, F.translate(rto, *p.digits), F.translate(series, *p.letters), F.translate(number, *p.digits)
@@ -411,7 +420,7 @@ def _validate_browser(df: DataFrame, text: str, out: str, p: PlateProfile) -> Da
     df = df.withColumn(fixed, F.when(in_range, corrected).otherwise(c))
     df = df.withColumn(count, F.when(in_range, touched).otherwise(F.lit(0)))
     x = F.col(fixed)
-    raw_state, fixed_state = F.substring(c, 1, 2).isin(*p.states), F.substring(x, 1, 2).isin(*p.states)
+    raw_state, fixed_state = is_state(cut, p.states), is_state(fixed, p.states)
     # fixed values: (pattern name, condition, confidence, uses the corrected text)
     steps = [
         ("STANDARD_STRICT", c.rlike(STANDARD), F.when(raw_state, 1.0).otherwise(0.90), False),
@@ -425,7 +434,7 @@ def _validate_browser(df: DataFrame, text: str, out: str, p: PlateProfile) -> Da
         ("TEMPORARY_CORRECTED", x.rlike(TEMPORARY), F.lit(0.80), True),
         ("GOVERNMENT_CORRECTED", x.rlike(GOVERNMENT), F.lit(0.82), True),
         ("SHORT_FORMAT_CORRECTED", x.rlike(SHORT) & fixed_state, F.lit(0.80), True),
-        ("STATE_CODE_MATCHED_ONLY", in_range & head.isin(*p.states), F.lit(p.state_only_conf), True),
+        ("STATE_CODE_MATCHED_ONLY", in_range & is_state(lead, p.states), F.lit(p.state_only_conf), True),
     ]
     pattern = F.when(~usable, F.lit(None).cast("string"))
     for name, hit, _, _ in steps:
@@ -448,4 +457,4 @@ def _validate_browser(df: DataFrame, text: str, out: str, p: PlateProfile) -> Da
         .otherwise(F.lit("INVALID")),
     )
     df = df.withColumn(f"{out}_valid", F.col(f"{out}_status") == "VALID")
-    return df.drop(raw, cut, fixed, count)
+    return df.drop(raw, cut, lead, fixed, count)

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from yardstream.functions.plate_rules import CLIP_LOOSE, CLIP_STRICT, SERVICE, VIDEO, normalize_plates, validate_plates
+from yardstream.functions.plate_rules import CLIP_LOOSE, CLIP_STRICT, SERVICE, VIDEO, is_state, normalize_plates, validate_plates
 from yardstream.functions.windows import busy_spells, micros, sorted_scan
 
 
@@ -39,10 +39,9 @@ def score_candidates(df: DataFrame, keys: Sequence[str], text: str, confidence:
     df = validate_plates(df, text, "_once", VIDEO)
     df = validate_plates(df, "_once_plate", "_v", VIDEO)
     plate, n = F.col("_v_plate"), F.length("_v_plate")
-    state = F.substring(plate, 1, 2)
     usual = n.isin(9, 10)
     points = (
-        F.when(state.isin(*VIDEO.states), 35.0).when(state.isin(*VIDEO.fix_keys()), 15.0).otherwise(0.0)
+        F.when(is_state("_v_plate", VIDEO.states), 35.0).when(is_state("_v_plate", VIDEO.fix_keys()), 15.0).otherwise(0.0)
         + F.when(F.col("_v_valid"), 45.0).when(usual, 20.0).otherwise(0.0)
         + F.when(usual, 15.0).otherwise(F.greatest(F.lit(0.0), 10.0 - F.abs(n - 10) * 2.0))
         + F.col(confidence) * 15.0
