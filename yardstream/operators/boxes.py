@@ -47,7 +47,7 @@ def crop_quality_browser(crops: DataFrame) -> DataFrame:
 
 
 def region_usable(w: Column, h: Column, variance: Column) -> Column:
-    return (w >= 30) & (h >= 8) & (w / h).between(1.2, 12) & (variance >= 55)
+    return (w >= 30) & (h >= 8) & F.try_divide(w, h).between(1.2, 12) & (variance >= 55)
 
 
 def filter_detections(boxes: DataFrame, width: int, height: int, labels: Sequence[str] = VEHICLE_LABELS) -> DataFrame:
