@@ -34,7 +34,7 @@ def test_repaired_rules_keep_long_and_bharat_plates(spark):
 
 @pytest.mark.parametrize("text,plate,conf", [
     ("WB12AB1234", "WB12AB1234", 0.98), ("W812A81234", "WB12AB1234", 0.98), ("TS09BS1234", "TS09JS1234", 0.98),
-    ("MH02D1365", "MH02D1365", 0.96), ("XX12AB1234", "XX12AB1234", 0.88), ("ARI2AB1234", "AR12AB1234", 0.98), ("AR0112", "AP0112", 0.92),
+    ("MH02D1365", "MH02D1365", 0.96), ("XX12AB1234", "XX12AB1234", 0.88), ("ARI2AB1234", "AR12AB1234", 0.98), ("AR011234", "AP011234", 0.92),
 ])
 def test_validate_fusion(spark, text, plate, conf):
     row = validated(spark, [text], "fusion")[0]

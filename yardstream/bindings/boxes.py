@@ -53,7 +53,7 @@ def _plateless(s, d):
     # confirmed order: as they were first created
     conf = t.filter("plate_number <> ''").select("video_id", "track_id", F.col("track_id").alias("position"), "x1", "y1", "x2", "y2")
     bare = t.filter("plate_number = ''").select("video_id", "track_id", "frames_seen", "x1", "y1", "x2", "y2")
-    return T.attach_plateless(bare, conf, 1280.0, 720.0, block=8).select("video_id", "track_id", "merged_into", "is_kept")
+    return T.attach_plateless(bare, conf, 1280.0, 720.0).select("video_id", "track_id", "merged_into", "is_kept")
 
 
 def _budget(s, d):
