@@ -118,3 +118,13 @@ def test_plateless_blocks_agree(spark):
     large = T.attach_plateless(bare, conf, 1280.0, 720.0, block=1000).select("track_id", "merged_into", "is_kept")
     assert sorted(map(tuple, small.collect()), key=str) == sorted(map(tuple, large.collect()), key=str)
     assert small.filter(F.col("merged_into").isNotNull()).count() > 10
+
+
+def test_large_tracks_by_rounds(spark):
+    rng = random.Random(9)
+    rows = [(t, f, f * 130 + rng.randrange(100), rng.random() < 0.6, rng.random() < 0.2) for t in range(40) for f in range(60)]
+    df = spark.createDataFrame(rows, "track_id long, frame_number int, t_ms long, has_text boolean, confirms boolean")
+    scan = T.reading_budget(df).select("track_id", "frame_number", "run_ocr")
+    rounds = T.reading_budget(df, large_track=1).select("track_id", "frame_number", "run_ocr")
+    assert sorted(map(tuple, scan.collect())) == sorted(map(tuple, rounds.collect()))
+    assert scan.filter("run_ocr").count() > 80
