@@ -42,7 +42,7 @@ def test_validate_fusion(spark, text, plate, conf):
 
 
 def test_validate_browser(spark):
-    rows = validated(spark, ["TN38AB1234", "22BH1234A", "TN38A81234", "T538AB1234", "??", "QQQQQQQQ"], "browser")
+    rows = validated(spark, ["TN38AB1234", "22BH1234A", "TN38A81234", "T538AB1234", "??", "ABCD"], "browser")
     got = [(r.v_pattern, r.v_plate, r.v_status, r.v_corrections) for r in rows]
     assert got[0] == ("STANDARD_STRICT", "TN38AB1234", "VALID", 0)
     assert got[1] == ("BHARAT_SERIES_STRICT", "22BH1234A", "VALID", 0)

@@ -150,12 +150,15 @@ select track_id, vehicle_class as dominant_class, cast(t as bigint) as frames_se
  from (select track_id, vehicle_class, count(*) as n, min(frame_number) as f from frames group by 1,2)) where rn = 1""",
     "merge_tracks": f"""
 with t as (select * from {_TRACKS} where plate_number <> ''),
-c as (select t.video_id, t.plate_number, f.vehicle_class, count(*) as n from t join frames f on f.track_id = t.track_id group by 1,2,3),
-k as (select video_id, plate_number, arg_max(vehicle_class, (n, vehicle_class)) as vehicle_class from c group by 1,2),
-r as (select *, row_number() over (partition by video_id, plate_number order by final_confidence desc, ocr_confidence desc, frames_seen desc, track_id) as rn from t)
-select r.video_id, r.plate_number, max(case when rn=1 then track_id end) as track_id, min(first_seen_frame) as first_seen_frame, max(last_seen_frame) as last_seen_frame,
+r as (select *, row_number() over (partition by video_id, plate_number order by final_confidence desc, ocr_confidence desc, frames_seen desc, track_id) as rn from t),
+m as (select track_id, video_id, plate_number, max(case when rn=1 then track_id end) over (partition by video_id, plate_number) as can from r),
+c as (select m.video_id, m.plate_number, m.track_id, m.can, f.vehicle_class, count(*) as n, min(frame_number) as ff from m join frames f on f.track_id = m.track_id group by 1,2,3,4,5),
+s as (select video_id, plate_number, vehicle_class, sum(n) as n, min(case when track_id = can then ff end) as cf, min(case when track_id <> can then track_id end) as ot,
+   arg_min(ff, track_id) filter (track_id <> can) as of from c group by 1,2,3),
+k as (select *, row_number() over (partition by video_id, plate_number order by n desc, case when cf is not null then 0 else 1 end, cf, ot, of) as rk from s)
+select r.video_id, r.plate_number, max(case when rn=1 then r.track_id end) as track_id, min(first_seen_frame) as first_seen_frame, max(last_seen_frame) as last_seen_frame,
  cast(sum(frames_seen) as bigint) as frames_seen, max(vehicle_confidence) as vehicle_confidence, max(final_confidence) as final_confidence, count(*) as merged_tracks, max(k.vehicle_class) as vehicle_class
-from r join k on k.video_id = r.video_id and k.plate_number = r.plate_number group by 1,2""",
+from r join k on k.video_id = r.video_id and k.plate_number = r.plate_number and k.rk = 1 group by 1,2""",
     "rank_detections": f"""
 select video_id, track_id, plate_number, row_number() over (partition by video_id order by case when length(plate_number)>=4 then 1 else 0 end desc, final_confidence desc, vehicle_confidence desc, frames_seen desc, track_id) as detection_no
 from {_TRACKS}""",

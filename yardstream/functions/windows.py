@@ -70,13 +70,17 @@ def previous_value(
     )
 
 
-def split_by_size(df: DataFrame, keys: Sequence[str], limit: int) -> tuple[DataFrame, DataFrame]:
+def split_by_size(df: DataFrame, keys: Sequence[str], limit: int) -> tuple[DataFrame, DataFrame | None]:
     """Split rows into (small groups, large groups) by the exact row count of ``keys``.
 
-    At most ``rows / limit`` keys are large, so the broadcast key list is
-    bounded: a trillion rows and a limit of a million give a million keys.
+    The counts are taken at once, from the key columns alone; without a large
+    group the second part is None and the first is ``df`` itself.  At most
+    ``rows / limit`` keys are large, which bounds the broadcast list: a trillion
+    rows and a limit of a million give a million keys.
     """
     large = df.groupBy(*keys).count().filter(F.col("count") > limit).select(*keys)
+    if large.isEmpty():
+        return df, None
     large = F.broadcast(large)
     return df.join(large, list(keys), "left_anti"), df.join(large, list(keys), "left_semi")
 

@@ -175,9 +175,9 @@ def track_summary(df: DataFrame, keys: list[str], frame: str = "frame_number", c
     ).select(*keys, "first_seen_frame", "last_seen_frame", "frames_seen", "vehicle_confidence", "_b.*")
 
 
-def class_counts(df: DataFrame, keys: list[str], label: str, weight: Column | None = None) -> DataFrame:
-    """Rows (keys, class, n): the mergeable form of a class counter."""
-    return df.groupBy(*keys, F.col(label).alias("vehicle_class")).agg(F.sum(F.lit(1) if weight is None else weight).alias("n"))
+def class_counts(df: DataFrame, keys: list[str], label: str, order: str = "frame_number") -> DataFrame:
+    """Rows (keys, class, n, first frame): the mergeable form of a class counter."""
+    return df.groupBy(*keys, F.col(label).alias("vehicle_class")).agg(F.count("*").alias("n"), F.min(order).alias("first_frame"))
 
 
 def merge_tracks(tracks: DataFrame, counts: DataFrame) -> DataFrame:
@@ -185,8 +185,8 @@ def merge_tracks(tracks: DataFrame, counts: DataFrame) -> DataFrame:
 
     ``tracks`` has one row per track, ``counts`` its class counter rows.  The
     canonical track has the highest final confidence, reader confidence and
-    frame count; merged classes are summed, ties go to the canonical track's
-    first class.
+    frame count; merged classes are summed.  Ties go to the class the canonical
+    track saw first, then to the earliest track.
     """
     group = ["video_id", "plate_number"]
     rank = F.struct("final_confidence", "ocr_confidence", "frames_seen", -F.col("track_id"))
@@ -196,8 +196,13 @@ def merge_tracks(tracks: DataFrame, counts: DataFrame) -> DataFrame:
         F.sum("frames_seen").alias("frames_seen"), F.max("vehicle_confidence").alias("vehicle_confidence"),
         F.max("final_confidence").alias("final_confidence"), F.count("*").alias("merged_tracks"),
     )
-    per_class = counts.join(tracks.select("track_id", *group), "track_id").groupBy(*group, "vehicle_class").agg(F.sum("n").alias("_n"))
-    top = per_class.groupBy(*group).agg(F.max_by("vehicle_class", F.struct("_n", "vehicle_class")).alias("vehicle_class"))
+    # the counters of a group next to its canonical track
+    member = tracks.select("track_id", *group).join(merged.select(*group, F.col("track_id").alias("_canonical")), group)
+    own = (F.col("track_id") == F.col("_canonical")).cast("int")
+    per_class = counts.join(member, "track_id").groupBy(*group, "vehicle_class").agg(
+        F.sum("n").alias("_n"), F.max(F.struct(own, F.when(own == 1, -F.col("first_frame")).otherwise(-F.col("track_id")), -F.col("first_frame"))).alias("_early")
+    )
+    top = per_class.groupBy(*group).agg(F.max_by("vehicle_class", F.struct("_n", "_early")).alias("vehicle_class"))
     return merged.join(top, group)
 
 
@@ -300,6 +305,8 @@ def reading_budget(
 
     small, large = split_by_size(df, [track], large_track)
     scanned = sorted_scan(small, [track], ["t_ms", "frame_number"], scan, f"{fields}, run_ocr boolean")
+    if large is None:
+        return scanned
     return scanned.unionByName(_budget_by_rounds(large, max_attempts, max_reads, cooldown_ms, frame_gap, track))
 
 
