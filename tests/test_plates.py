@@ -42,11 +42,11 @@ def test_validate_fusion(spark, text, plate, conf):
 
 
 def test_validate_browser(spark):
-    rows = validated(spark, ["TN38AB1234", "22BH1234A", "TN38A81234", "T538AB1234", "??", "ABCD"], "browser")
+    rows = validated(spark, ["TN38AB1234", "22BH1234A", "TN38AB12B4", "T538AB1234", "??", "ABCD"], "browser")
     got = [(r.v_pattern, r.v_plate, r.v_status, r.v_corrections) for r in rows]
     assert got[0] == ("STANDARD_STRICT", "TN38AB1234", "VALID", 0)
     assert got[1] == ("BHARAT_SERIES_STRICT", "22BH1234A", "VALID", 0)
-    assert got[2] == ("STANDARD_POSITION_CORRECTED", "TN38AB1234", "VALID", 1)
+    assert got[2] == ("STANDARD_POSITION_CORRECTED", "TN38AB1284", "VALID", 1)
     assert got[3][1:] == ("TS38AB1234", "VALID", 1)
     assert got[4] == (None, "", "LOW_CONFIDENCE", None)
     assert got[5][2] == "INVALID"

@@ -8,6 +8,7 @@ from yardstream.bindings.views import with_views
 from yardstream.operators import boxes as B
 from yardstream.operators import tracking as T
 from yardstream.sources import derived as D
+from yardstream.sources.tables import staged
 
 
 def plate_boxes(s, d):
@@ -49,7 +50,7 @@ def _merge_frames(s, d):
 
 
 def _plateless(s, d):
-    t = tracks(s, d)
+    t = staged(tracks(s, d), "tracks")
     # confirmed order: as they were first created
     conf = t.filter("plate_number <> ''").select("video_id", "track_id", F.col("track_id").alias("position"), "x1", "y1", "x2", "y2")
     bare = t.filter("plate_number = ''").select("video_id", "track_id", "frames_seen", "x1", "y1", "x2", "y2")

@@ -232,15 +232,23 @@ def last_observations(df: DataFrame, keys: list[str], order: str, n: int = 30) -
 def attach_plateless(plateless: DataFrame, confirmed: DataFrame, width: float, height: float, block: int = 64) -> DataFrame:
     """Give each plate-less track the first confirmed track of its video at the same place.
 
-    ``confirmed`` carries ``position``, its order.  Confirmed tracks travel in
-    arrays of ``block``; only tracks the first block does not settle meet the
-    later ones.  Left-over tracks need two frames to stay.
+    ``confirmed`` carries ``position``, its order.  The first ``block`` confirmed
+    tracks of a video travel as one array; only tracks they do not settle meet
+    the others, which are packed by place so that most packs are passed over.
+    Left-over tracks need two frames to stay.
     """
     names = ("x1", "y1", "x2", "y2")
     ranked = running_sum(confirmed, ["video_id"], ["position"], F.lit(1), F.floor(F.col("position") / 100_000), "_rank")
-    packs = ranked.groupBy("video_id", F.floor((F.col("_rank") - 1) / block).alias("_block")).agg(
-        F.collect_list(F.struct("position", F.col("track_id").alias("owner"), *names)).alias("_pack")
+    item = F.struct("position", F.col("track_id").alias("owner"), *names)
+    lead = ranked.filter(F.col("_rank") <= block).groupBy("video_id").agg(F.collect_list(item).alias("_pack"))
+    cx, cy = G.center(G.box())
+    place = [F.floor(cx / (width * 0.22)).alias("_px"), F.floor(cy / (height * 0.35)).alias("_py"), F.floor(F.col("_rank") / (16 * block)).alias("_part")]
+    packs = ranked.filter(F.col("_rank") > block).groupBy(F.col("video_id").alias("_video"), *place).agg(
+        F.collect_list(item).alias("_pack"), F.min("x1").alias("_x1"), F.min("y1").alias("_y1"), F.max("x2").alias("_x2"), F.max("y2").alias("_y2"),
+        F.min(cx).alias("_cx1"), F.max(cx).alias("_cx2"), F.min(cy).alias("_cy1"), F.max(cy).alias("_cy2"),
     )
+    touches = (F.col("x1") < F.col("_x2")) & (F.col("x2") > F.col("_x1")) & (F.col("y1") < F.col("_y2")) & (F.col("y2") > F.col("_y1"))
+    around = cx.between(F.col("_cx1") - width * 0.22, F.col("_cx2") + width * 0.22) & cy.between(F.col("_cy1") - height * 0.35, F.col("_cy2") + height * 0.35)
 
     def same_place(k: Column) -> Column:
         a, b = G.box(), (k["x1"], k["y1"], k["x2"], k["y2"])
@@ -250,17 +258,16 @@ def attach_plateless(plateless: DataFrame, confirmed: DataFrame, width: float, h
 
     hit = F.array_min(F.transform(F.filter("_pack", same_place), lambda k: F.struct(k["position"], k["owner"])))
     columns = plateless.columns
-    first = plateless.join(packs.filter("_block = 0").drop("_block"), "video_id", "left").withColumn("_hit", hit)
-    settled = first.filter("_hit is not null").select(*columns, "_hit")
-    rest = first.filter("_hit is null").select(*columns)
+    first = plateless.join(lead, "video_id", "left").withColumn("_hit", hit)
     later = (
-        rest.join(packs.filter("_block > 0").select("video_id", "_pack"), "video_id")
-        .withColumn("_hit", hit).filter("_hit is not null")
-        .groupBy("track_id").agg(F.min("_hit").alias("_hit"))
+        first.filter("_hit is null").select(*columns)
+        .join(packs, (F.col("video_id") == F.col("_video")) & (touches | around))
+        .withColumn("_late", hit).filter("_late is not null")
+        .groupBy("track_id").agg(F.min("_late").alias("_late"))
     )
-    rest = rest.join(later, "track_id", "left").select(*columns, "_hit")
     return (
-        settled.unionByName(rest)
+        first.select(*columns, "_hit").join(later, "track_id", "left")
+        .withColumn("_hit", F.coalesce("_hit", "_late")).select(*columns, "_hit")
         .withColumn("merged_into", F.col("_hit.owner"))
         .withColumn("is_kept", F.col("_hit").isNull() & (F.col("frames_seen") >= 2))
         .drop("_hit")
