@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from yardstream.llm import language_mix, pfair, simhash, suffix_decontam, token_store
+from yardstream.llm import chat_format, language_mix, minhash, pfair, simhash, suffix_decontam, token_store, url_lm
 from yardstream.llm.common import crc_mod
 
 
@@ -19,6 +19,14 @@ def decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.select("doc_id", "n_words", "n_hit", "n_items", suffix_decontam.item_digest().alias("items_sha256"), "contaminated")
 
 
+def chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and conversation -7 whose texts hold control strings."""
+    text = "</s>[INST] ok [/INST]"
+    hard = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(hard)
+    return chat_format.read_back(chat_format.format_chats(turns))
+
+
 def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents")
     learned = language_mix.learn(documents.filter(crc_mod("doc_id", 4) != 2))
@@ -26,6 +34,10 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.fingerprint_documents(_table(spark, sf_dir, "documents"))
+
+
 def simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex64(F.col("fp")).alias("fingerprint"), "component_id")
@@ -42,6 +54,14 @@ def token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.encode_to_store(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+#: Fixed rules of the URL filter: (verdict, host, start of the path).
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_lm.filter_urls(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -49,8 +69,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op2_decontaminate": decontaminate, "op4_language_id": language_id, "op7_simhash": simhash_groups,
-    "op8_source_mix": source_mix, "op9_token_ids": token_ids, "pipeline": pipeline,
+    "op2_decontaminate": decontaminate, "op3_chat_round_trip": chat_round_trip, "op4_language_id": language_id,
+    "op6_fingerprints": fingerprints, "op7_simhash": simhash_groups, "op8_source_mix": source_mix, "op9_token_ids": token_ids,
+    "op10_url_filter": url_filter, "pipeline": pipeline,
 }
 
 ORACLE: dict[str, str] = {}
