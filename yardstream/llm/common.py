@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def shared_path(spark: SparkSession, purpose: str) -> str:
@@ -56,3 +57,10 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int =
 def crc_mod(key: str, n: int) -> Column:
     """crc32 of a key written as text, modulo ``n`` (null keys: null)."""
     return F.crc32(F.col(key).cast("string")) % n
+
+
+def arrow_schema(schema: str | StructType) -> pa.Schema:
+    """The Arrow schema of a DDL string or a StructType (on the driver)."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    return to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema)

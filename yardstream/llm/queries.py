@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from yardstream.llm import chat_format, language_mix, minhash, pfair, simhash, suffix_decontam, token_store, url_lm
+from yardstream.llm import chat_format, language_mix, minhash, pfair, pii, quality_mil, simhash, suffix_decontam, token_store, url_lm
 from yardstream.llm.common import crc_mod
 
 
@@ -14,6 +14,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(_table(spark, sf_dir, "documents"))
+    count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{pii.KINDS[k]}")
+    return found.select("doc_id", *map(count, range(5)), F.sha2(pii.span_text(F.col("spans"), True), 256).alias("base_sha256"), pii.span_text(F.col("spans")).alias("spans"))
+
+
 def decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     report = suffix_decontam.contamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return report.select("doc_id", "n_words", "n_hit", "n_items", suffix_decontam.item_digest().alias("items_sha256"), "contaminated")
@@ -34,6 +40,13 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    weights = quality_mil.learn(documents, _table(spark, sf_dir, "labels").filter(crc_mod("doc_id", 3) != 1))
+    found = quality_mil.score(documents, weights)
+    return found.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.fingerprint_documents(_table(spark, sf_dir, "documents"))
 
@@ -69,8 +82,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op2_decontaminate": decontaminate, "op3_chat_round_trip": chat_round_trip, "op4_language_id": language_id,
-    "op6_fingerprints": fingerprints, "op7_simhash": simhash_groups, "op8_source_mix": source_mix, "op9_token_ids": token_ids,
+    "op1_personal_data": personal_data, "op2_decontaminate": decontaminate, "op3_chat_round_trip": chat_round_trip, "op4_language_id": language_id,
+    "op5_quality": quality, "op6_fingerprints": fingerprints, "op7_simhash": simhash_groups, "op8_source_mix": source_mix, "op9_token_ids": token_ids,
     "op10_url_filter": url_filter, "pipeline": pipeline,
 }
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from yardstream.llm.common import text_slices
+from yardstream.llm.common import arrow_schema, text_slices
 
 WINDOW = 10
 #: Bytes of benchmark text searched at once; a larger benchmark is searched in blocks.
@@ -193,11 +193,9 @@ def contamination_report(documents: DataFrame, benchmark: DataFrame, max_bytes:
             reports = search_shard(batch.column("_utf8").to_pylist(), tests)
             yield pa.RecordBatch.from_pylist([{"doc_id": d, **r} for d, r in zip(batch.column("doc_id").to_pylist(), reports)], schema)
 
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     rows = documents.select("doc_id", F.col("text").cast("binary").alias("_utf8"))
     out = T.StructType([rows.schema["doc_id"], *REPORT])
-    schema = to_arrow_schema(out)
+    schema = arrow_schema(out)
     return rows.mapInArrow(run, out)
 
 

@@ -27,10 +27,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from yardstream.llm.common import shared_path, text_slices
+from yardstream.llm.common import arrow_schema, shared_path, text_slices
 
 END_ID = 2
 SHARD_BYTES = 4 << 20
@@ -51,8 +52,6 @@ def _mix(keys: np.ndarray, seed) -> np.ndarray:
 
 
 def key_hashes(keys: list[str]) -> np.ndarray:
-    import xxhash
-
     return np.array([xxhash.xxh3_64_intdigest(k.encode()) for k in keys], np.uint64)
 
 
@@ -178,10 +177,7 @@ def write_store(documents: DataFrame, path: str, tokenizer: str, shard_bytes: in
         if keys:
             yield pa.RecordBatch.from_pylist([_shard_row(part, piece, keys, ids, width)], schema)
 
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    schema = to_arrow_schema(_parse_datatype_string(_SHARDS))
+    schema = arrow_schema(_SHARDS)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("_tie"))
     rows = rows.repartitionByRange("doc_id", "_tie").sortWithinPartitions("doc_id", "_tie", "text").select("doc_id", "text")
     rows.mapInArrow(run, _SHARDS).write.option("compression", "zstd").parquet(f"{path}/shards")
