@@ -22,8 +22,12 @@ of all documents of earlier shards.
 
 from __future__ import annotations
 
+import re
+import sys
+import types
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +41,7 @@ END_ID = 2
 SHARD_BYTES = 4 << 20
 SHARD_DOCS = 16_384
 #: Distinct white-space separated chunks whose ids a worker remembers.
-MEMO = 400_000
+MEMO = 600_000
 _BUCKET = 4
 _SHARDS = "part long, piece long, n_ids long, width int, payload binary, keys array<long>, seeds binary, fingerprints binary, offsets binary, lengths binary, low long, high long"
 
@@ -95,33 +99,66 @@ def fingerprint(hashes: np.ndarray) -> np.ndarray:
     return (_mix(hashes, 0) >> np.uint64(32)).astype("<u4")
 
 
+#: A single mark between a letter and a space: a token of its own anyway, so a space before it changes nothing.
+_MARK = re.compile(r"(?<=[A-Za-z])([.,;:!?])(?= )")
+
+
 class Encoder:
     """Ids of whole texts by the tokenizers library.
 
     The tokenizer drops white space and no token crosses it, so a text's ids are
     those of its white-space separated chunks; a chunk met before is not encoded
-    again.
+    again.  New chunks are encoded together, with the vocabulary's end-of-text
+    mark between them, which is always a token of its own; its id shows where
+    the next chunk begins.
     """
 
     def __init__(self, path: str, width: int):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.kind, self.memo = Tokenizer.from_file(path), f"<u{width}", {}
+        special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special}
+        self.mark = next((m for m in special if not m.isspace()), None)
+        self.mark_id = special.get(self.mark)
+
+    def _learn(self, chunks: list[str]) -> None:
+        alone = [c for c in chunks if self.mark is None or "<" in c or ">" in c]
+        for chunk, got in zip(alone, self.tokenizer.encode_batch(alone, add_special_tokens=False)):
+            self.memo[chunk] = np.array(got.ids, self.kind).tobytes()
+        known = set(alone)
+        together = [c for c in chunks if c not in known]
+        parts = [together[i : i + 512] for i in range(0, len(together), 512)]
+        lines = [self.mark.join(part) for part in parts]
+        for part, got in zip(parts, self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)):
+            ids = np.array(got.ids, np.uint32)
+            cuts = np.flatnonzero(ids == self.mark_id)
+            raw, size = ids.astype(self.kind).tobytes(), int(self.kind[2])
+            low = [0, *((cuts + 1) * size).tolist()]
+            high = [*(cuts * size).tolist(), len(raw)]
+            if len(low) != len(part):
+                raise ValueError("the end-of-text mark is not kept apart by this tokenizer")
+            self.memo.update(zip(part, (raw[a:b] for a, b in zip(low, high))))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        chunks = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        out = []
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        memo = self.memo
-        new = list(dict.fromkeys(c for words in chunks for c in words if c not in memo))
-        for low in range(0, len(new), 4096):
-            part = new[low : low + 4096]
-            for chunk, got in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                memo[chunk] = np.array(got.ids, self.kind).tobytes()
-        for words in chunks:
-            out.append(b"".join([memo[w] for w in words]))
-        return out
+        chunks = []
+        for text in texts:
+            text = _MARK.sub(r" \1", (text or "").replace("\n", " ").replace("\t", " ").replace("\r", " "))
+            chunks.append((text.lower() if text.isascii() else text).split(" "))
+        memo, distinct = self.memo, dict.fromkeys(chain.from_iterable(chunks))
+        if len(memo) > MEMO:
+            kept = {c: memo[c] for c in distinct if c in memo}
+            memo.clear()
+            memo.update(kept)
+        self._learn([c for c in distinct if c not in memo])
+        return [b"".join([memo[w] for w in words]) for words in chunks]
+
+
+def worker_encoder(path: str, width: int) -> Encoder:
+    """The encoder of this Python worker: workers serve many tasks, and the memory of chunks is worth keeping."""
+    kept = sys.modules.setdefault("yardstream_worker_state", types.SimpleNamespace(encoders={})).encoders
+    if (path, width) not in kept:
+        kept[path, width] = Encoder(path, width)
+    return kept[path, width]
 
 
 def _shard_row(part: int, piece: int, doc_ids: list[int | None], ids: list[bytes], width: int) -> dict:
@@ -162,7 +199,7 @@ def write_store(documents: DataFrame, path: str, tokenizer: str, shard_bytes: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, part, piece = Encoder(tokenizer, width), TaskContext.get().partitionId(), 0
+        encoder, part, piece = worker_encoder(tokenizer, width), TaskContext.get().partitionId(), 0
         end = np.array([END_ID], f"<u{width}").tobytes()
         keys, ids, size = [], [], 0
         for batch in text_slices(batches, "text"):
