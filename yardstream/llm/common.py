@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -14,6 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
+#: Bytes of an Arrow batch between Spark and a Python worker.
+BATCH_BYTES = 4 << 20
+
+
 def shared_path(spark: SparkSession, purpose: str) -> str:
     """A fresh path in the shared folder of the cluster (``spark.checkpoint.dir``).
 
@@ -41,7 +46,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def text_slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each holds about ``max_bytes`` of text (one row at least)."""
     for batch in batches:
         if batch.num_rows == 0:
@@ -54,6 +59,18 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int =
                 yield batch.slice(low, high - low)
 
 
+def map_batches(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
+    """``df.mapInArrow`` with Arrow batches of BATCH_BYTES at most, so that long texts don't pile up in a worker.
+
+    The bound is a setting of the session and stays; a smaller one is kept.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = df.sparkSession.conf.get(name)
+    if int(re.sub(r"\D", "", now)) > BATCH_BYTES or not re.fullmatch(r"\d+b?", now):
+        df.sparkSession.conf.set(name, f"{BATCH_BYTES}b")
+    return df.mapInArrow(run, schema)
+
+
 def crc_mod(key: str, n: int) -> Column:
     """crc32 of a key written as text, modulo ``n`` (null keys: null)."""
     return F.crc32(F.col(key).cast("string")) % n

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from yardstream.llm.common import text_slices
+from yardstream.llm.common import map_batches, text_slices
 
 #: Cells of the trigram table of a language; a prime well above the trigrams of an alphabet.
 CELLS = 262_139
@@ -21,7 +21,7 @@ UNDETERMINED = "und"
 SMOOTH = 0.5
 EM_ROUNDS, MOST_LANGUAGES = 8, 4
 #: Distinct chunks whose likelihoods a worker remembers.
-MEMO = 200_000
+MEMO = 100_000
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -92,7 +92,7 @@ def learn(documents: DataFrame) -> tuple[list[str], bytes]:
     bounded by languages x CELLS counts.
     """
     rows = documents.filter("lang is not null and text is not null").select("lang", "text")
-    sums = rows.mapInArrow(_count_batches, "lang string, cell long, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
+    sums = map_batches(rows, _count_batches, "lang string, cell long, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
     packed = sums.groupBy("lang").agg(F.collect_list("cell").alias("cell"), F.collect_list("n").alias("n")).collect()
     packed.sort(key=lambda r: r["lang"])
     table = np.zeros((len(packed), CELLS), np.int64)
@@ -209,7 +209,7 @@ def _with_model(documents: DataFrame, learned: tuple[list[str], bytes], handle,
         for batch in batches:
             yield from handle(batch, memory)
 
-    return documents.mapInArrow(run, schema)
+    return map_batches(documents, run, schema)
 
 
 def identify(documents: DataFrame, learned: tuple[list[str], bytes]) -> DataFrame:
@@ -228,7 +228,7 @@ def identify(documents: DataFrame, learned: tuple[list[str], bytes]) -> DataFram
     """
 
     def handle(batch: pa.RecordBatch, memory: Memory) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(iter([batch]), "text", 2 << 20):
+        for part in text_slices(iter([batch]), "text"):
             got = infer(part.column("text").to_pylist(), memory)
             columns = [part.column("doc_id"), *(pa.array(c, t) for c, t in zip(zip(*got), (pa.string(), pa.float64(), pa.float64(), pa.map_(pa.string(), pa.float64()))))]
             columns[4] = pa.array([list(x[3].items()) for x in got], pa.map_(pa.string(), pa.float64()))
@@ -252,7 +252,7 @@ def keep_known_languages(documents: DataFrame, learned: tuple[list[str], bytes],
 
     def handle(batch: pa.RecordBatch, memory: Memory) -> Iterator[pa.RecordBatch]:
         own = pa.RecordBatch.from_arrays([batch.column(at)], ["text"])
-        keep = [g[0] != UNDETERMINED and g[2] >= least_known for part in text_slices(iter([own]), "text", 2 << 20) for g in infer(part.column("text").to_pylist(), memory)]
+        keep = [g[0] != UNDETERMINED and g[2] >= least_known for part in text_slices(iter([own]), "text") for g in infer(part.column("text").to_pylist(), memory)]
         yield batch.filter(pa.array(keep, pa.bool_()))
 
     return _with_model(documents, learned, handle, documents.schema)

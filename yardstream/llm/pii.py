@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from yardstream.llm.common import arrow_schema, staged, text_slices
+from yardstream.llm.common import arrow_schema, map_batches, staged, text_slices
 
 KINDS = ["email", "ip", "card", "phone", "term"]
 #: Words on either side of an entity that count as its context.
@@ -112,7 +112,7 @@ def _find_spans(rows: DataFrame) -> DataFrame:
                 out.append({"doc_id": doc, "text_hash": mark, "spans": [dict(zip(("start", "kind", "end"), s)) for s in spans], "near": [dict(zip(("entity", "place", "terms"), n)) for n in near]})
             yield pa.RecordBatch.from_pylist(out, schema)
 
-    return rows.mapInArrow(run, _FOUND)
+    return map_batches(rows, run, _FOUND)
 
 
 def _keyed(documents: DataFrame) -> DataFrame:
@@ -160,7 +160,7 @@ def _postings(documents: DataFrame, terms: DataFrame) -> DataFrame:
                     rows += [{"doc_id": doc, "text_hash": mark, "term": t, "starts": [a for a, _ in x], "ends": [b for _, b in x]} for t, x in at.items()]
                 yield pa.RecordBatch.from_pylist(rows, form)
 
-        got = _keyed(documents).mapInArrow(run, schema)
+        got = map_batches(_keyed(documents), run, schema)
         out = got if out is None else out.unionByName(got)
     return out if out is not None else spark.createDataFrame([], schema)
 
@@ -249,4 +249,4 @@ def sanitise(documents: DataFrame) -> DataFrame:
             columns[at] = pa.array(texts, batch.column(at).type)
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return rows.select(*names, "_spans").mapInArrow(run, kinds)
+    return map_batches(rows.select(*names, "_spans"), run, kinds)

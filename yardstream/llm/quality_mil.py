@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from yardstream.llm.common import arrow_schema, text_slices
+from yardstream.llm.common import arrow_schema, map_batches, text_slices
 
 #: Words in a passage; a document is the bag of its passages, the last one shorter.
 PASSAGE = 64
@@ -141,7 +141,7 @@ def learn(documents: DataFrame, labels: DataFrame, label: str = "quality", sampl
             parts = np.split(x.astype("<f4"), np.cumsum(n)[:-1])
             yield pa.RecordBatch.from_pylist([{"label": y, "n": int(k), "features": p.tobytes()} for y, k, p in zip(batch.column("label").to_pylist(), n, parts)], schema)
 
-    bags = rows.mapInArrow(run, _SAMPLE).collect()
+    bags = map_batches(rows, run, _SAMPLE).collect()
     if not bags:
         return None
     bags.sort(key=lambda r: (r["label"], bytes(r["features"])))  # the order of arrival has no say
@@ -172,4 +172,4 @@ def score(documents: DataFrame, weights: dict[str, np.ndarray] | None) -> DataFr
                 p, strongest = f["p"].astype(np.float64), np.maximum.reduceat(f["a"], f["starts"]).astype(np.float64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p), pa.array(n), pa.array(strongest)], ["doc_id", "score", "passages", "strongest"])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, score double, passages long, strongest double")
+    return map_batches(rows, run, f"doc_id {kind}, score double, passages long, strongest double")

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from yardstream.llm.common import staged, text_slices
+from yardstream.llm.common import map_batches, staged, text_slices
 from yardstream.llm.components import component_labels
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
@@ -37,7 +37,7 @@ def simhash_of(texts: list[bytes | None]) -> np.ndarray:
     values, size = np.array(hashes, np.uint64), np.array(sizes, np.int64)
     out = np.zeros(len(texts), np.uint64)
     ones = np.zeros((len(texts), 64), np.int64)
-    step, owner = 1 << 17, np.repeat(np.arange(len(texts)), size)
+    step, owner = 1 << 16, np.repeat(np.arange(len(texts)), size)
     for low in range(0, len(values), step):  # bounded memory: 64 bytes for each shingle of a step
         part, who = values[low : low + step], owner[low : low + step]
         bits = np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -58,7 +58,7 @@ def fingerprints(documents: DataFrame) -> DataFrame:
     """(doc_id, fp): one row per row of ``documents``; fp holds the 64 bits as a signed long."""
     utf8 = documents.select("doc_id", F.col("text").cast("binary").alias("_utf8"))
     kind = utf8.schema["doc_id"].dataType.simpleString()
-    return utf8.mapInArrow(_add_fingerprints, f"doc_id {kind}, fp long")
+    return map_batches(utf8, _add_fingerprints, f"doc_id {kind}, fp long")
 
 
 def _bands(n: int) -> list[int]:
@@ -201,7 +201,7 @@ def _links(classes: DataFrame, bucket: int) -> DataFrame:
     rows = rows.join(large, ["band", "key"], "left").select("band", "key", "fp", "rep", F.explode(F.when(F.col("cuts").isNull(), F.array(F.lit(0))).otherwise(cells)).alias("cell"))
     parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sorted_rows = rows.repartition(parts, "band", "key", "cell").sortWithinPartitions("band", "key", "cell")
-    return sorted_rows.mapInArrow(_scan_buckets, "a long, b long")
+    return map_batches(sorted_rows, _scan_buckets, "a long, b long")
 
 
 def near_duplicates(documents: DataFrame, bucket: int = BUCKET) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from yardstream.llm.common import arrow_schema, text_slices
+from yardstream.llm.common import arrow_schema, map_batches, text_slices
 
 WINDOW = 10
 #: Bytes of benchmark text searched at once; a larger benchmark is searched in blocks.
@@ -196,7 +196,7 @@ def contamination_report(documents: DataFrame, benchmark: DataFrame, max_bytes:
     rows = documents.select("doc_id", F.col("text").cast("binary").alias("_utf8"))
     out = T.StructType([rows.schema["doc_id"], *REPORT])
     schema = arrow_schema(out)
-    return rows.mapInArrow(run, out)
+    return map_batches(rows, run, out)
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -218,7 +218,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, block_bytes: int =
                 keep = [not r["contaminated"] for part in text_slices(iter([own]), "_utf8") for r in search_shard(part.column("_utf8").to_pylist(), tests)]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
-        documents = documents.mapInArrow(run, documents.schema)
+        documents = map_batches(documents, run, documents.schema)
     return documents
 
 

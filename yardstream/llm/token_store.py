@@ -35,13 +35,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from yardstream.llm.common import arrow_schema, shared_path, text_slices
+from yardstream.llm.common import arrow_schema, map_batches, shared_path, text_slices
 
 END_ID = 2
 SHARD_BYTES = 4 << 20
 SHARD_DOCS = 16_384
 #: Distinct white-space separated chunks whose ids a worker remembers.
-MEMO = 600_000
+MEMO = 300_000
 _BUCKET = 4
 _SHARDS = "part long, piece long, n_ids long, width int, payload binary, keys array<long>, seeds binary, fingerprints binary, offsets binary, lengths binary, low long, high long"
 
@@ -217,7 +217,7 @@ def write_store(documents: DataFrame, path: str, tokenizer: str, shard_bytes: in
     schema = arrow_schema(_SHARDS)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("_tie"))
     rows = rows.repartitionByRange("doc_id", "_tie").sortWithinPartitions("doc_id", "_tie", "text").select("doc_id", "text")
-    rows.mapInArrow(run, _SHARDS).write.option("compression", "zstd").parquet(f"{path}/shards")
+    map_batches(rows, run, _SHARDS).write.option("compression", "zstd").parquet(f"{path}/shards")
     _directory(documents.sparkSession, path).write.parquet(f"{path}/directory")
 
 
@@ -281,7 +281,7 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
                     [pa.array([shard.row[c]] * len(keys), pa.int64()) for c in ("part", "piece")] + [pa.array(keys, pa.int64()), pa.array(offsets), pa.array(lengths), pa.array(sums, pa.int64())],
                     ["part", "piece", "doc_id", "offset", "n_tokens", "ids_crc32"])
 
-    rows = spark.read.parquet(f"{path}/shards").mapInArrow(run, "part long, piece long, doc_id long, offset long, n_tokens long, ids_crc32 long")
+    rows = map_batches(spark.read.parquet(f"{path}/shards"), run, "part long, piece long, doc_id long, offset long, n_tokens long, ids_crc32 long")
     directory = spark.read.parquet(f"{path}/directory").select("part", "piece", F.col("start").alias("_start"))
     return rows.join(directory, ["part", "piece"]).select("doc_id", (F.col("_start") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
 
@@ -310,7 +310,7 @@ def lookup(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
                 found = [(k, ids.tolist()) for k in shard.row["wanted"] for ids in shard.get(k)]
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([x for _, x in found], pa.list_(pa.int64()))], ["doc_id", "ids"])
 
-    return rows.mapInArrow(run, "doc_id long, ids array<long>")
+    return map_batches(rows, run, "doc_id long, ids array<long>")
 
 
 def encode_to_store(documents: DataFrame, tokenizer: str) -> DataFrame:
