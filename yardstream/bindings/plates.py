@@ -49,12 +49,7 @@ def _consensus(s, d):
 
 
 def _folded(s, d):
-    v = D.vehicles(s, d).select(P.folded_key(F.col("plate_number")).alias("k"), F.col("plate_number").alias("known_plate"))
-    t = D.texts(s, d).withColumn("tk", P.folded_key(F.col("text")))
-    return t.join(v, F.col("tk") == F.col("k"), "left").select(
-        "read_id", "text", F.coalesce("known_plate", P.minimal_fix(P.plate_clean(F.col("text")))).alias("final_plate"),
-        F.col("known_plate").isNotNull().alias("is_known"),
-    )
+    return G.match_known_plates(D.texts(s, d).select("read_id", "text"), D.vehicles(s, d), "text", "vehicle_id")
 
 
 def _state_mix(s, d):
@@ -279,7 +274,7 @@ left join veh v on v.plate_number = x.final_plate""",
     "folded_key_match": """
 select read_id, text, coalesce(plate_number, translate(c,'OQI','001')) as final_plate, plate_number is not null as is_known
 from (select read_id, text, regexp_replace(upper(text),'[^A-Z0-9]','','g') as c from texts) t
-left join veh v on translate(v.plate_number,'OIBQS','01805') = translate(t.c,'OIBQS','01805')""",
+left join (select translate(plate_number,'OIBQS','01805') as k, arg_min(plate_number, vehicle_id) as plate_number from veh group by 1) v on v.k = translate(t.c,'OIBQS','01805')""",
     "state_mix": """
 select case when length(k) >= 2 then k[1:2] else 'IN' end as state, count(*) as n from (select replace(replace(upper(text),' ',''),'-','') as k from texts) group by 1""",
     "frame_best_candidate": f"""

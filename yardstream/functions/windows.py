@@ -3,12 +3,14 @@
 A window over ``partitionBy(key)`` sends a key to one task.  The two helpers
 here work on (key, bucket) instead - the bucket being a slice of the ordering
 column - and carry the little that crosses bucket borders through a summary
-with one row per (key, bucket).
+with one row per (key, bucket).  Null keys are keys like others and null order
+values have a bucket of their own: no row is lost.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,6 +18,13 @@ from pyspark.sql import functions as F
 DAY_MICROS = 86_400_000_000
 
 
+def meet(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on columns of the same names in which null meets null; ``right`` keeps only its other columns."""
+    right = right.select(*[F.col(c).alias(f"_on_{c}") if c in on else F.col(c) for c in right.columns])
+    condition = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in on])
+    return left.join(right, condition, how).drop(*[f"_on_{c}" for c in on])
+
+
 def micros(ts: Column) -> Column:
     """Microseconds of a zone-less or zoned timestamp (session zone UTC)."""
     return F.unix_micros(ts.cast("timestamp"))
@@ -42,8 +51,7 @@ def running_sum(
         .select(*keys, b, F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset"))
     )
     return (
-        df.withColumn(out, F.sum(v).over(inner))
-        .join(offset, [*keys, b])
+        meet(df.withColumn(out, F.sum(v).over(inner)), offset, [*keys, b])
         .withColumn(out, F.col(out) + F.col("_offset"))
         .drop(b, v, "_offset")
     )
@@ -63,28 +71,12 @@ def previous_value(
         .select(*keys, b, F.lag("_last").over(across).alias("_carried"))
     )
     return (
-        df.withColumn(out, F.lag(order).over(inner))
-        .join(carried, [*keys, b])
+        meet(df.withColumn(out, F.lag(order).over(inner)), carried, [*keys, b])
         .withColumn(out, F.coalesce(F.col(out), F.col("_carried")))
         .drop(b, "_carried")
     )
 
 
-def split_by_size(df: DataFrame, keys: Sequence[str], limit: int) -> tuple[DataFrame, DataFrame | None]:
-    """Split rows into (small groups, large groups) by the exact row count of ``keys``.
-
-    The counts are taken at once, from the key columns alone; without a large
-    group the second part is None and the first is ``df`` itself.  At most
-    ``rows / limit`` keys are large, which bounds the broadcast list: a trillion
-    rows and a limit of a million give a million keys.
-    """
-    large = df.groupBy(*keys).count().filter(F.col("count") > limit).select(*keys)
-    if large.isEmpty():
-        return df, None
-    large = F.broadcast(large)
-    return df.join(large, list(keys), "left_anti"), df.join(large, list(keys), "left_semi")
-
-
 def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Hash-partition by ``keys`` into the session's shuffle partitions, not coalesced by size."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
@@ -119,8 +111,7 @@ def neighbour_row(
         .select(*keys, b, shift("_edge").over(Window.partitionBy(*keys).orderBy(b)).alias("_carried"))
     )
     return (
-        df.withColumn(out, shift(row).over(Window.partitionBy(*keys, b).orderBy(*order)))
-        .join(carried, [*keys, b])
+        meet(df.withColumn(out, shift(row).over(Window.partitionBy(*keys, b).orderBy(*order))), carried, [*keys, b])
         .withColumn(out, F.coalesce(out, "_carried"))
         .drop(b, "_carried")
     )
@@ -147,8 +138,7 @@ def busy_spells(df: DataFrame, keys: Sequence[str], order: str, gap: int, width:
         .select(*keys, "_slice", F.max("_last").over(before).alias("_before"))
     )
     spells = (
-        points.withColumn("_in", F.max("_open").over(inner))
-        .join(carried, [*keys, "_slice"])
+        meet(points.withColumn("_in", F.max("_open").over(inner)), carried, [*keys, "_slice"])
         .select(*keys, order, F.coalesce("_in", "_before").alias(out))
     )
-    return df.join(spells, [*keys, order])
+    return meet(df, spells, [*keys, order])

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from yardstream.functions import geometry as G
-from yardstream.functions.windows import sorted_scan
+from yardstream.functions.windows import meet, sorted_scan
 
 VEHICLE_LABELS = ("bike", "car", "motorcycle", "bus", "truck")
 # fixed values: label, x, y, width, height as shares of the vehicle box
@@ -161,7 +161,8 @@ def suppress_boxes(
 ) -> DataFrame:
     """Non-maximum suppression per frame: the surviving boxes.
 
-    The ``head`` most confident boxes of a frame are settled first.  Only a
+    A box without confidence ranks last.  The ``head`` most confident boxes of a
+    frame are settled first.  Only a
     frame with more boxes has a rest; its boxes hit by a settled survivor are
     dropped in parallel, and the few left are settled among themselves.
     """
@@ -170,14 +171,14 @@ def suppress_boxes(
     keys = list(keys)
     columns = boxes.columns
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in boxes.schema)
-    order = [F.desc("confidence"), F.col("box_id")]
+    order = [F.desc_nulls_last("confidence"), F.col("box_id")]
     scan = _suppress_scan(keys, iou_limit, iou_inclusive, contain_limit)
     ranked = boxes.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     top = ranked.filter(F.col("_rank") <= head)
     first = sorted_scan(top.select(*columns), keys, order, scan, schema)
-    cut = top.filter(F.col("_rank") == head).select(*keys, F.col("confidence").alias("_c"), F.col("box_id").alias("_b"))
+    cut = top.filter(F.col("_rank") == head).select(*keys)
     names = ("x1", "y1", "x2", "y2")
-    settled = first.join(cut, keys, "left_semi").groupBy(*keys).agg(F.collect_list(F.struct(*names)).alias("_kept"))
+    settled = meet(first, cut, keys).groupBy(*keys).agg(F.collect_list(F.struct(*names)).alias("_kept"))
 
     def hits(k: Column) -> Column:
         a, b = G.box(), (k["x1"], k["y1"], k["x2"], k["y2"])
@@ -189,6 +190,5 @@ def suppress_boxes(
             hit = hit | (inter / F.least(area, other) >= contain_limit)
         return hit & (inter > 0)
 
-    later = (F.col("confidence") < F.col("_c")) | ((F.col("confidence") == F.col("_c")) & (F.col("box_id") > F.col("_b")))
-    rest = boxes.join(cut, keys).filter(later).join(settled, keys).filter(~F.exists("_kept", hits)).select(*columns)
+    rest = meet(ranked.filter(F.col("_rank") > head), settled, keys).filter(~F.exists("_kept", hits)).select(*columns)
     return first.unionByName(sorted_scan(rest, keys, order, scan, schema))

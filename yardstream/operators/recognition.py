@@ -8,7 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from yardstream.functions.plate_rules import CLIP_LOOSE, CLIP_STRICT, SERVICE, VIDEO, is_state, normalize_plates, validate_plates
+from yardstream.functions.plate_rules import (
+    CLIP_LOOSE, CLIP_STRICT, SERVICE, VIDEO, folded_key, is_state, minimal_fix, normalize_plates, plate_clean, validate_plates,
+)
 from yardstream.functions.windows import busy_spells, micros, sorted_scan
 
 
@@ -155,3 +157,14 @@ def near_duplicates(
     kind = df.schema[event_id].dataType.simpleString()
     flagged = sorted_scan(rows, [camera, "_spell"], ["_t", event_id], scan, f"{event_id} {kind}, is_duplicate boolean")
     return df.join(flagged, event_id)
+
+
+def match_known_plates(reads: DataFrame, known: DataFrame, text: str, order: str) -> DataFrame:
+    """Add ``final_plate`` and ``is_known``: the known plate that looks the same when confusable characters are folded.
+
+    Folding makes different plates collide; the first one in ``order`` counts,
+    so every read stays one row.  Other texts get the minimal syntax fix.
+    """
+    first = known.groupBy(folded_key(F.col("plate_number")).alias("_k")).agg(F.min_by("plate_number", order).alias("_known"))
+    joined = reads.withColumn("_t", folded_key(F.col(text))).join(first, F.col("_t") == F.col("_k"), "left")
+    return joined.select(*reads.columns, F.coalesce("_known", minimal_fix(plate_clean(F.col(text)))).alias("final_plate"), F.col("_known").isNotNull().alias("is_known"))

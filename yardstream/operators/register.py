@@ -129,7 +129,11 @@ def _scattered(plate: Column, row_id: Column) -> Column:
 def join_registry(
     df: DataFrame, vehicles: DataFrame, plate: str = "plate", row_id: str = "read_id", active_only: bool = False
 ) -> DataFrame:
-    """Left-join the vehicle master on the normalised plate of both sides."""
+    """Left-join the vehicle master on the normalised plate of both sides.
+
+    Spellings that normalise to one plate are one vehicle, the one with the
+    smallest ``vehicle_id``: a read stays one row.
+    """
     if active_only and "is_active" in vehicles.columns:
         vehicles = vehicles.filter("is_active")
     v = vehicles.select(
@@ -140,6 +144,8 @@ def join_registry(
         F.col("transporter").alias("registered_transporter"),
         F.col("is_authorized"),
     )
+    first = F.min_by(F.struct(*[c for c in v.columns if c != "_vkey"]), F.struct("vehicle_id", "owner_name"))
+    v = v.groupBy("_vkey").agg(first.alias("_v")).select("_vkey", "_v.*")
     return (
         df.withColumn("_key", _scattered(plate_key(F.col(plate)), F.col(row_id)))
         .join(v, F.col("_key") == F.col("_vkey"), "left")
@@ -158,23 +164,26 @@ def join_list(
 ) -> DataFrame:
     """Add ``{name}_match`` and ``{name}_reason`` from the active list entries.
 
-    List plates are unique.  ``valid_at`` additionally applies the validity
-    range of an entry to the given time column.
+    Of several entries for a plate the first that applies counts: without a
+    ``valid_from`` first, then the earliest, then by reason; a read stays one
+    row.  ``valid_at`` names a time column and restricts to entries valid then
+    (null limits are open).
     """
-    e = entries.filter("is_active")
-    extra = [F.col(c).alias(f"_{c}") for c in ("valid_from", "valid_until") if valid_at and c in e.columns]
-    e = e.select(plate_key(F.col("plate_number")).alias("_lkey"), F.col("reason").alias("_reason"), *extra)
-    condition = F.col("_key") == F.col("_lkey")
-    if valid_at and "valid_from" in entries.columns:
-        condition = condition & (F.col(valid_at) >= F.col("_valid_from"))
-    if valid_at and "valid_until" in entries.columns:
-        condition = condition & (F.col("_valid_until").isNull() | (F.col(valid_at) <= F.col("_valid_until")))
+    limits = [F.col(c) if c in entries.columns else F.lit(None).cast("timestamp_ntz").alias(c) for c in ("valid_from", "valid_until")]
+    e = entries.filter("is_active").select(plate_key(F.col("plate_number")).alias("_lkey"), *limits, "reason")
+    e = e.groupBy("_lkey").agg(F.sort_array(F.collect_list(F.struct("valid_from", "reason", "valid_until"))).alias("_entries"))
+    applies = lambda x: F.lit(True)
+    if valid_at:
+        t = F.col(valid_at)
+        applies = lambda x: (x["valid_from"].isNull() | (t >= x["valid_from"])) & (x["valid_until"].isNull() | (t <= x["valid_until"]))
+    hit = F.get(F.filter("_entries", applies), F.lit(0))
     return (
         df.withColumn("_key", _scattered(plate_key(F.col(plate)), F.col(row_id)))
-        .join(e, condition, "left")
-        .withColumn(f"{name}_match", F.col("_lkey").isNotNull())
-        .withColumn(f"{name}_reason", F.col("_reason"))
-        .drop("_key", "_lkey", "_reason", "_valid_from", "_valid_until")
+        .join(e, F.col("_key") == F.col("_lkey"), "left")
+        .withColumn("_hit", hit)
+        .withColumn(f"{name}_match", F.col("_hit").isNotNull())
+        .withColumn(f"{name}_reason", F.col("_hit.reason"))
+        .drop("_key", "_lkey", "_entries", "_hit")
     )
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from yardstream.functions import geometry as G
-from yardstream.functions.windows import busy_spells, running_sum, sorted_scan, split_by_size
+from yardstream.functions.windows import busy_spells, meet, running_sum, sorted_scan
 
 
 def sample_frames(df: DataFrame, fps: float, target_fps: float, frame: str = "frame_number") -> DataFrame:
@@ -281,46 +281,20 @@ def reading_budget(
     cooldown_ms: int = 400,
     frame_gap: int = 2,
     track: str = "track_id",
-    large_track: int = 1_000_000,
 ) -> DataFrame:
     """Add ``run_ocr``: whether a frame of a track is worth reading.
 
     Needs ``t_ms``, ``frame_number``, ``has_text`` and ``confirms``: what a
-    reading would give; (t_ms, frame_number) identifies a frame of a track.
-    Stops when confirmed or the budget is used up.  Ordinary tracks are scanned
-    in order; a larger one is settled by one minimum per attempt.
-    """
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
+    reading would give (null: nothing); (t_ms, frame_number) identifies a frame
+    of a track.  Stops when confirmed or the budget is used up.
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current = None
-        attempts = reads = 0
-        last_t = last_f = -(10**12)
-        confirmed = False
-        for pdf in batches:
-            flags = []
-            for key, t, f, text, ok in zip(*(pdf[c].to_list() for c in (track, "t_ms", "frame_number", "has_text", "confirms"))):
-                if key != current:
-                    current, attempts, reads, last_t, last_f, confirmed = key, 0, 0, -(10**12), -(10**12), False
-                run = not confirmed and attempts < max_attempts and reads < max_reads and t - last_t >= cooldown_ms and f - last_f >= frame_gap
-                if run:
-                    attempts, last_t, last_f = attempts + 1, t, f
-                    reads += bool(text)
-                    confirmed = bool(text and ok)
-                flags.append(run)
-            yield pdf.assign(run_ocr=flags)
-
-    small, large = split_by_size(df, [track], large_track)
-    scanned = sorted_scan(small, [track], ["t_ms", "frame_number"], scan, f"{fields}, run_ocr boolean")
-    if large is None:
-        return scanned
-    return scanned.unionByName(_budget_by_rounds(large, max_attempts, max_reads, cooldown_ms, frame_gap, track))
-
-
-def _budget_by_rounds(df: DataFrame, max_attempts: int, max_reads: int, cooldown_ms: int, frame_gap: int, track: str) -> DataFrame:
-    """The reading budget by repeated minima: per round the first frame allowed after the last attempt."""
+    An attempt is the first frame allowed after the attempt before, so a round
+    is one minimum per track, pre-aggregated before the shuffle, whatever the
+    track's length.  A null track is a track like others.
+    """
     when = F.struct("t_ms", "frame_number")
-    state = df.groupBy(track).agg(F.min_by(F.struct("t_ms", "frame_number", "has_text", "confirms"), when).alias("p"))
+    frame = F.struct("t_ms", "frame_number", F.coalesce("has_text", F.lit(False)).alias("has_text"), F.coalesce("confirms", F.lit(False)).alias("confirms"))
+    state = df.groupBy(track).agg(F.min_by(frame, when).alias("p"))
     state = state.select(
         track, F.array(F.struct("p.t_ms", "p.frame_number")).alias("_picks"), F.col("p.has_text").cast("int").alias("_reads"),
         (F.col("p.has_text") & F.col("p.confirms")).alias("_done"),
@@ -329,18 +303,15 @@ def _budget_by_rounds(df: DataFrame, max_attempts: int, max_reads: int, cooldown
         last = F.element_at("_picks", -1)
         open_ = ~F.col("_done") & (F.col("_reads") < max_reads)
         allowed = (F.col("t_ms") - last["t_ms"] >= cooldown_ms) & (F.col("frame_number") - last["frame_number"] >= frame_gap) & (when > last)
-        found = (
-            df.join(state, track).filter(open_ & allowed).groupBy(track)
-            .agg(F.min_by(F.struct("t_ms", "frame_number", "has_text", "confirms"), when).alias("p"))
-        )
+        found = meet(df, state, [track]).filter(open_ & allowed).groupBy(track).agg(F.min_by(frame, when).alias("p"))
         hit = F.col("p").isNotNull()
-        state = state.join(found, track, "left").select(
+        state = meet(state, found, [track], "left").select(
             track,
             F.when(hit, F.array_append("_picks", F.struct("p.t_ms", "p.frame_number"))).otherwise(F.col("_picks")).alias("_picks"),
             (F.col("_reads") + F.coalesce(F.col("p.has_text").cast("int"), F.lit(0))).alias("_reads"),
-            F.coalesce(F.col("p.has_text") & F.col("p.confirms"), F.lit(False)).alias("_new"), "_done",
-        ).withColumn("_done", F.col("_done") | F.col("_new")).drop("_new")
-    return df.join(state.select(track, "_picks"), track).withColumn("run_ocr", F.array_contains("_picks", when)).drop("_picks")
+            (F.col("_done") | F.coalesce(F.col("p.has_text") & F.col("p.confirms"), F.lit(False))).alias("_done"),
+        )
+    return meet(df, state.select(track, "_picks"), [track]).withColumn("run_ocr", F.array_contains("_picks", when)).drop("_picks")
 
 
 def frames_per_second(df: DataFrame, ts: str = "ts", keys: list[str] | None = None) -> DataFrame:

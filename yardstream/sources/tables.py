@@ -19,11 +19,14 @@ def read_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh path in the shared checkpoint folder of the cluster.
 
-    Only where the session names none (tests on one machine) a local folder is
-    made and recorded in the session.
+    Only a session on a local master that names none gets a folder of its own,
+    recorded in the session; on a cluster that is an error, because executors
+    would not see it.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
