@@ -27,7 +27,7 @@ import sys
 import types
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +41,7 @@ END_ID = 2
 SHARD_BYTES = 4 << 20
 SHARD_DOCS = 16_384
 #: Distinct white-space separated chunks whose ids a worker remembers.
-MEMO = 300_000
+MEMO = 800_000
 _BUCKET = 4
 _SHARDS = "part long, piece long, n_ids long, width int, payload binary, keys array<long>, seeds binary, fingerprints binary, offsets binary, lengths binary, low long, high long"
 
@@ -146,9 +146,8 @@ class Encoder:
             chunks.append((text.lower() if text.isascii() else text).split(" "))
         memo, distinct = self.memo, dict.fromkeys(chain.from_iterable(chunks))
         if len(memo) > MEMO:
-            kept = {c: memo[c] for c in distinct if c in memo}
-            memo.clear()
-            memo.update(kept)
+            for chunk in list(islice(memo, len(memo) // 2)):  # the oldest half goes; what is common is soon back
+                del memo[chunk]
         self._learn([c for c in distinct if c not in memo])
         return [b"".join([memo[w] for w in words]) for words in chunks]
 
