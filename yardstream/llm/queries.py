@@ -87,4 +87,25 @@ QUERIES = {
     "op10_url_filter": url_filter, "pipeline": pipeline,
 }
 
-ORACLE: dict[str, str] = {}
+_WORDS = r"""regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+_MARKS = r"([|]im_start[|]>|[|]im_end[|]>|[|]endoftext[|]>|/?s>|/?INST\])"
+
+#: Only these two can be written in SQL: the others need 64-bit hashes, models, positions of matches or the tokenizer.
+ORACLE: dict[str, str] = {
+    "op2_decontaminate": f"""
+with d as (select doc_id, coalesce({_WORDS}, []) as w from documents), b as (select cast(item_id as varchar) as item, {_WORDS} as w from benchmark where text is not null),
+win as (select distinct item, least(10, len(w)) as n, array_to_string(w[i+1 : i+least(10, len(w))], ' ') as s from (select *, unnest(range(0, len(w) - least(10, len(w)) + 1)) as i from b where len(w) > 0)),
+own as (select doc_id, n, i, array_to_string(w[i+1 : i+n], ' ') as s from (select doc_id, w, n, unnest(range(0, len(w) - n + 1)) as i from d, (select distinct n from win))),
+hit as (select doc_id, i, own.n, item from own join win using (n, s)),
+words as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + n)) as p from hit) group by 1),
+items as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as names from (select distinct doc_id, item from hit) group by 1)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join words using (doc_id) left join items using (doc_id)""",
+    "op3_chat_round_trip": rf"""
+with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e as (select *, regexp_replace(text, '([<\[])(\\*){_MARKS}', '\1\2\\\3', 'g') as quoted from t),
+c as (select conv_id, count(*) as n_turns, string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text) as every, coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '') as loss,
+  sum(length('<|im_start|>') + length(role) + 1 + length(quoted) + length('<|im_end|>') + 1) as formatted_chars, count(*) filter (quoted <> text) as n_escaped from e group by 1)
+select conv_id, n_turns, sha256(every) as turns_sha256, length(loss) as loss_chars, sha256(loss) as loss_sha256, formatted_chars::bigint as formatted_chars, n_escaped, true as round_trip from c""",
+}
