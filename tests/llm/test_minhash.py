@@ -12,7 +12,7 @@ def words(text):
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
     for c in "\t\n\x0b\x0c\r":
         low = low.replace(c, " ")
-    return [w for w in low.split(" ") if w]
+    return [w for w in low.split(" ") if w] or [""]
 
 
 def chained(parts):
@@ -34,12 +34,7 @@ def brute_bins(text):
     out = list(bins)
     for b in range(256):
         if bins[b] is None:
-            h = xxhash.xxh64_intdigest(b.to_bytes(4, "little"), 42)
-            for t in range(1, 257):
-                at = ((h >> 8) + ((h & 255) | 1) * t) & 255
-                if bins[at] is not None:
-                    out[b] = bins[at]
-                    break
+            out[b] = next(bins[at] for t in range(256) if bins[at := M.probe(b, t)] is not None)
     return out
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,7 +19,7 @@ SLICE_ROWS = 2_000
 
 def shingle_hashes(text: Column) -> Column:
     """Hashes of the runs of SHINGLE words (A-Z lower-cased, white space apart); fewer words are one run."""
-    words = F.filter(F.split(F.translate(text, _UPPER, _LOWER), "[ \\t\\n\\u000b\\f\\r]+"), lambda w: w != "")
+    words = F.split(F.btrim(F.translate(text, _UPPER, _LOWER), F.lit(" \t\n\x0b\f\r")), "[ \\t\\n\\u000b\\f\\r]+")
     run = lambda w, i: F.xxhash64(*[w[i + k] for k in range(SHINGLE)])
     return let(words, lambda w: F.when(F.size(w) <= SHINGLE, F.array(F.xxhash64(w))).otherwise(F.transform(F.sequence(F.lit(0), F.size(w) - SHINGLE), lambda i: run(w, i))))
 
@@ -30,33 +31,39 @@ def _sorted_minima(hashes: Column) -> Column:
     return let(F.sort_array(F.concat(hashes, low)), lambda v: F.filter(v, lambda x, i: (i == 0) | (bin_of(x) != bin_of(v[F.greatest(i - 1, F.lit(0))]))))
 
 
+def probe(b: int, t: int) -> int:
+    """Bin that empty bin ``b`` looks at in step ``t``: first + t * step, with both hashed from ``b`` and the step odd."""
+    h = (b + 1) * 0x9E3779B97F4A7C15 % (1 << 64)
+    h = (h ^ (h >> 29)) * 0xBF58476D1CE4E5B9 % (1 << 64)
+    return ((h >> 40) + t * ((h >> 20) | 1)) % BINS
+
+
 def _densified(minima: Column) -> Column:
     """Values of all bins; an empty bin takes that of a full bin chosen by its own probe sequence.
 
-    Bin b probes c + a, c + 2a, ... with a (odd) and c hashed from b: every
-    bin is met in BINS steps, each full bin being as likely as any other, and
-    the choice does not depend on what the neighbours hold.
+    A probe sequence meets every bin in BINS steps, each full bin is as likely
+    as any other, and the choice does not depend on what neighbours hold.  The
+    first steps are a table made from the rule; ``coalesce`` stops at the first
+    full bin.  Only where all of them are empty the rest of the sequence is made.
     """
-    top = F.lit((1 << _SHIFT) - 1)
-    value = lambda x: x.bitwiseAND(top)
-    empty = lambda x: value(x) == top
+    top, near = F.lit((1 << _SHIFT) - 1), 24
+    table = F.from_json(F.lit(json.dumps([probe(b, t) for b in range(BINS) for t in range(near)])), "array<int>")
+    first = F.from_json(F.lit(json.dumps([probe(b, 0) for b in range(BINS)])), "array<int>")
+    step = F.from_json(F.lit(json.dumps([(probe(b, 1) - probe(b, 0)) % BINS for b in range(BINS)])), "array<int>")
+    values = F.transform(minima, lambda x: F.nullif(x.bitwiseAND(top), top))
 
-    def probe(b: Column, m: Column) -> Column:
-        h = F.xxhash64(b)
-        step, first = h.bitwiseAND(F.lit(BINS - 1)).bitwiseOR(F.lit(1)), F.shiftright(h, 8).bitwiseAND(F.lit(BINS - 1))
-        at = lambda t: (first + step * t).bitwiseAND(F.lit(BINS - 1)).cast("int")
-        # No early exit in an array function: a few probes first, the whole round only where they all fail.
-        some = lambda n: F.filter(F.sequence(F.lit(1), F.lit(n)), lambda t: ~empty(m[at(t)]))
-        return let(some(8), lambda few: F.when(F.size(few) > 0, m[at(few[0])]).otherwise(m[at(some(BINS)[0])]))
+    def fill(x: Column, b: Column, m: Column) -> Column:
+        later = F.transform(F.sequence(F.lit(near), F.lit(BINS - 1)), lambda t: m[(first[b] + t * step[b]).bitwiseAND(F.lit(BINS - 1))])
+        return F.coalesce(x, *[m[table[b * near + t]] for t in range(near)], F.get(F.filter(later, lambda v: v.isNotNull()), F.lit(0)))
 
-    return let(minima, lambda m: F.when(F.exists(m, empty), F.transform(m, lambda x, b: value(F.when(empty(x), probe(b, m)).otherwise(x)))).otherwise(F.transform(m, value)))
+    return let(values, lambda m: F.transform(m, lambda x, b: fill(x, b, m)))
 
 
 def fingerprint(text: Column) -> Column:
     """The low BITS (4) of each bin's value as one hexadecimal digit: BINS digits.
 
     Equal texts have equal fingerprints.  Null counts as empty; an empty or
-    blank text has one shingle, the empty run.
+    blank text has one shingle, a run of one empty word.
     """
     digits = F.transform(_densified(_sorted_minima(shingle_hashes(F.coalesce(text, F.lit(""))))), lambda v: F.substring(F.lit("0123456789abcdef"), v.bitwiseAND(F.lit(15)).cast("int") + 1, F.lit(1)))
     return F.array_join(digits, "")
