@@ -98,6 +98,17 @@ def test_copies_of_one_passage_disclose_nothing(docs_of):
     assert all(s["kind"] == 0 for r in P.find_personal_data(docs_of(rows)).collect() for s in r.spans)
 
 
+def test_rough_counts(docs_of, monkeypatch):
+    df = docs_of(corpus())
+    terms = df.sparkSession.createDataFrame([("falcon",), ("harbour",), ("bara",), ("basa",), ("nowhere",)], "term string")
+    exact = {t: len({x for _, x in corpus() if t in x.lower().replace(".", " ").split()}) for t in ("falcon", "harbour")}
+    got = {r.term: r.n_t for r in P._rough_counts(df, terms).collect()}
+    assert got == exact
+    monkeypatch.setattr(P, "SKETCH", 8)
+    got = {r.term: r.n_t for r in P._rough_counts(df, terms).collect()}
+    assert got["falcon"] == 6 and 5 < got["harbour"] < 45
+
+
 def test_terms_in_several_passes(docs_of, monkeypatch):
     df = docs_of(corpus())
     want = sorted(map(str, spans_of(df).values()))

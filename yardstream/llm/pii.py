@@ -11,11 +11,12 @@ never occurs without the entity, 0 if it occurs independently of it.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from yardstream.llm.common import arrow_schema, map_batches, staged, text_slices
@@ -27,6 +28,8 @@ REACH = 10
 LEAST = 3
 #: Disclosure (PMI / IC) from which a term is generalised, and from which it is removed.
 GENERALISE, REMOVE = 0.6, 0.9
+#: Text hashes that the sketch of a term keeps.
+SKETCH = 64
 #: Candidate terms that a pass over the documents looks for; more take further passes.
 PASS_TERMS = 1_000_000
 
@@ -133,6 +136,52 @@ def _candidates(found: DataFrame) -> DataFrame:
     return pairs.join(entities, "entity")
 
 
+def _rough_counts(documents: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term, n_t): about how many different texts hold each candidate term, by bottom-k sketches of all texts.
+
+    A task keeps the SKETCH smallest text hashes of a term: few rows, however
+    common the term.  Below SKETCH the count is exact.
+    """
+    n = terms.count()
+    passes = -(-n // PASS_TERMS)
+    spark, out = documents.sparkSession, None
+    for i in range(passes):
+        sent = spark.sparkContext.broadcast({r.term for r in terms.filter(F.pmod(F.xxhash64("term"), F.lit(passes)) == i).collect()})
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            wanted, least = sent.value, {}
+            for batch in text_slices(batches, "text"):
+                for mark, text in zip(batch.column("text_hash").to_pylist(), batch.column("text").to_pylist()):
+                    for term in wanted.intersection(_WORD.findall((text or "").lower())):
+                        marks = least.setdefault(term, [])
+                        if len(marks) < SKETCH or mark < marks[-1]:
+                            at = bisect_left(marks, mark)
+                            if at == len(marks) or marks[at] != mark:
+                                marks.insert(at, mark)
+                                del marks[SKETCH:]
+            names = [t for t, m in least.items() for _ in m]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([x for m in least.values() for x in m], pa.int64())], ["term", "mark"])
+
+        got = map_batches(_keyed(documents), run, "term string, mark long")
+        out = got if out is None else out.unionByName(got)
+    if out is None:
+        return spark.createDataFrame([], "term string, n_t double")
+    order = Window.partitionBy("term").orderBy("mark")
+    low = out.distinct().withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= SKETCH)
+    share = (F.max("mark").cast("double") + 2.0**63) / 2.0**64
+    return low.groupBy("term").agg(F.when(F.count("*") < SKETCH, F.count("*")).otherwise((SKETCH - 1) / share).cast("double").alias("n_t"))
+
+
+def _worth_counting(candidates: DataFrame, rough: DataFrame, n_texts: int) -> DataFrame:
+    """Candidate terms that may reach GENERALISE for some entity, with a wide margin for the rough counts.
+
+    PMI / IC >= g means n(t) <= n(e,t) (N / n(e)) ** (1 - g).
+    """
+    total = F.greatest(F.lit(float(max(n_texts, 2))), F.col("n_e") + 1)
+    bound = 2.5 * F.col("n_et") * F.pow(total / F.col("n_e"), F.lit(1 - GENERALISE))
+    return candidates.join(rough, "term").filter(F.col("n_t") <= bound).select("term").distinct()
+
+
 def _postings(documents: DataFrame, terms: DataFrame) -> DataFrame:
     """(doc_id, text_hash, term, starts, ends): where the candidate terms stand.
 
@@ -194,8 +243,9 @@ def find_personal_data(documents: DataFrame) -> DataFrame:
     """
     found = staged(_find_spans(_keyed(documents)), "personal-data")
     candidates = staged(_candidates(found), "candidate-terms")
-    postings = staged(_postings(documents, candidates.select("term").distinct()), "term-places")
     n_texts = found.agg(F.approx_count_distinct("text_hash", 0.02)).first()[0]
+    rough = staged(_rough_counts(documents, candidates.select("term").distinct()), "term-counts")
+    postings = staged(_postings(documents, _worth_counting(candidates, rough, n_texts)), "term-places")
     terms = disclosing_terms(candidates, postings, n_texts)
     marks = postings.join(terms, "term").select("doc_id", "text_hash", "action", F.explode(F.arrays_zip("starts", "ends")).alias("p"))
     marks = marks.select("doc_id", "text_hash", F.struct(F.col("p.starts").alias("start"), F.lit(4).alias("kind"), F.col("p.ends").alias("end"), "action").alias("mark"))
