@@ -143,8 +143,11 @@ def with_views(sql: str, recursive: bool = False) -> str:
                 order.append(name)
 
     visit(sql)
-    head = ", ".join(f"{name} as ({VIEWS[name].strip()})" for name in order)
     body = sql.strip()
+    texts = [body, *(VIEWS[name] for name in order)]
+    # A view that is read more than once is computed once.
+    often = {name for name in order if sum(len(re.findall(rf"\b{name}\b", t)) for t in texts) > 1}
+    head = ", ".join(f"{name} as {'materialized ' if name in often else ''}({VIEWS[name].strip()})" for name in order)
     own = re.match(r"with\s+", body, re.IGNORECASE)
     word = "with recursive" if recursive else "with"
     if own and head:
