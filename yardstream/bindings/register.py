@@ -119,9 +119,9 @@ def _dedup(spark, sf):
 
 
 def _register_roundtrip(spark, sf):
-    """Write the five register tables of one batch, read them back and profile them."""
+    """Write the register tables of one batch, read them back and profile them: rows, sum of keys, length of texts."""
     from yardstream.plans.register_plan import register_batch
-    from yardstream.sources.tables import scratch_dir, append_register, table_counts
+    from yardstream.sources.tables import append_register, scratch_dir
 
     tables = register_batch(
         D.payloads(spark, sf), D.cameras(spark, sf), D.gates(spark, sf), D.vehicles(spark, sf),
@@ -129,7 +129,20 @@ def _register_roundtrip(spark, sf):
     )
     root = scratch_dir(spark, "register")
     append_register(tables, root)
-    return table_counts({name: spark.read.parquet(f"{root}/{name}") for name, _ in tables.items()})
+    out = None
+    for name, key, text in _PROFILED:
+        one = spark.read.parquet(f"{root}/{name}").agg(
+            F.count("*").alias("row_count"), F.sum(key).cast("long").alias("key_sum"), F.sum(F.length(text)).cast("long").alias("text_length"))
+        one = one.select(F.lit(name).alias("table_name"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+#: Table, key and text column that the round trip profiles.
+_PROFILED = [
+    ("detections", "read_id", "vehicle_type"), ("predictions", "read_id", "fused_plate_text"), ("prediction_frames", "read_id", "ocr_text"), ("events", "event_id", "plate_number"),
+    ("decisions", "event_id", "decision"), ("alerts", "event_id", "alert_type"), ("deliveries", "event_id", "recipient"), ("vehicle_status", "vehicle_id", "status"),
+]
 
 
 def _decisions_by_gate(spark, sf):
@@ -193,6 +206,9 @@ deduped as (select event_id, ts, plate_number, event_type, last_id as accepted_i
 _PASSAGES = """select read_id as event_id, ts, case when plate = '' then 'UNKNOWN' else plate end as plate_number,
   case when c.direction = 'exit' then 'exit' else 'entry' end as event_type from parsed p left join cams c on c.camera_code = p.camera_code"""
 
+_FRAMES = """select p.read_id, case when p.read_id%2=0 then r.raw_plate else lower(r.raw_plate) end as ocr_text
+ from parsed p join reads r on r.read_id = p.read_id join (select 0 as pos union all select 1) f on f.pos < p.n_frames union all select read_id, plate from parsed where n_frames = 0 and plate <> ''"""
+
 ORACLE = {
     "decisions_by_gate": """
 select c.gate_name, case when r.confidence < 0.75 then 'manual_review' when v.watchlisted or v.is_authorized = false then 'deny'
@@ -219,15 +235,22 @@ from parsed p join reads r on r.read_id = p.read_id join f on f.pos < p.n_frames
 union all
 select read_id, 0, 1, plate, confidence, 'PaddleOCR' from parsed where n_frames = 0 and plate <> ''""",
     "register_write_roundtrip": _dedup_chain(_PASSAGES, 15) + """,
-kept as (select p.* from parsed p join deduped d on d.event_id = p.read_id and d.accepted_id = d.event_id)
-select 'detections' as table_name, count(*) as row_count from parsed
-union all select 'predictions', count(*) from parsed
-union all select 'events', count(*) from kept
-union all select 'decisions', count(*) from kept
-union all select 'alerts', count(*) from (select p.*, v.vehicle_id, v.is_authorized, v.watchlisted from kept p left join veh v on v.plate_number = p.plate) x
-   where watchlisted or not is_authorized or (plate <> '' and (vehicle_id is null or confidence < 0.75))
-union all select 'deliveries', count(*) from (select p.*, v.vehicle_id, v.is_authorized, v.watchlisted from kept p left join veh v on v.plate_number = p.plate) x
-   where watchlisted or not is_authorized or (plate <> '' and vehicle_id is null)""",
+kept as (select p.* from parsed p join deduped d on d.event_id = p.read_id and d.accepted_id = d.event_id),
+passage_rows as (PASSAGES),
+seen as (select p.*, v.vehicle_id, v.is_authorized, v.watchlisted, v.whitelisted, case when plate = '' then 'UNKNOWN' else plate end as fused, e.event_type
+  from kept p left join veh v on v.plate_number = p.plate join passage_rows e on e.event_id = p.read_id),
+judged as (select *, case when confidence < 0.75 then 'manual_review' when watchlisted or is_authorized = false then 'deny' when vehicle_id is not null then 'allow' else 'manual_review' end as decision,
+  case when watchlisted or not is_authorized then 'Watchlist Alert' when vehicle_id is null and plate <> '' then 'Unknown Vehicle' when confidence < 0.75 and plate <> '' then 'Low Confidence Read' end as alert_type from seen),
+all_rows as (
+ select 'detections' as table_name, read_id as k, vehicle_type as t from parsed
+ union all select 'predictions', read_id, case when plate = '' then 'UNKNOWN' else plate end from parsed
+ union all select 'prediction_frames', read_id, ocr_text from (FRAMES)
+ union all select 'events', read_id, fused from seen
+ union all select 'decisions', read_id, decision from judged
+ union all select 'alerts', read_id, alert_type from judged where alert_type is not null
+ union all select 'deliveries', read_id, case when alert_type = 'Watchlist Alert' then 'security_guard_console' else 'guard_console' end from judged where alert_type in ('Watchlist Alert', 'Unknown Vehicle')
+ union all select 'vehicle_status', vehicle_id, case when arg_max(event_type, (ts, read_id)) = 'entry' then 'Inside' else 'Exited' end from seen where vehicle_id is not null group by vehicle_id)
+select table_name, count(*) as row_count, sum(k)::bigint as key_sum, sum(length(t))::bigint as text_length from all_rows group by 1""".replace("PASSAGES", _PASSAGES).replace("FRAMES", _FRAMES),
     "resolve_gate": """
 select read_id, gate_ref, coalesce(n.gate_id, c.gate_id) as gate_id from parsed p
 left join gate n on n.gate_name = p.gate_ref left join gate c on c.gate_code = p.gate_ref""",

@@ -112,6 +112,22 @@ def progress_trips(events: DataFrame, trips: DataFrame, impute_dwell: bool = Tru
     )
 
 
+def trip_history(events: DataFrame, trips: DataFrame) -> DataFrame:
+    """The status changes that ``progress_trips`` makes: one row for the entry and one for the exit of a trip.
+
+    ``trip_ref`` as there.  The entry row names the first allowed entry, which
+    moved the trip; an exit of a trip that never entered starts from its given status.
+    """
+    seg = _segments(events, trips)
+    scheduled, entered, left = F.col("trip_id").isNotNull(), F.col("first_entry").isNotNull(), F.col("leave").isNotNull()
+    ref = F.coalesce("trip_id", -F.col("first_entry.event_id"))
+    before = F.when(scheduled, F.col("from_status")).otherwise(F.lit("scheduled"))
+    entry = F.when(entered, F.struct(before.alias("from_status"), F.lit("inside_plant").alias("to_status"), F.col("first_entry.event_id").alias("trigger_event_id"), F.col("first_entry.ts").alias("ts")))
+    exit_ = F.when(left, F.struct(F.when(entered, F.lit("inside_plant")).otherwise(before).alias("from_status"), F.lit("completed").alias("to_status"), F.col("leave.event_id").alias("trigger_event_id"), F.col("leave.ts").alias("ts")))
+    rows = seg.filter(entered | (scheduled & left)).select(ref.alias("trip_ref"), "plate_number", F.explode(F.array_compact(F.array(entry, exit_))).alias("c"))
+    return rows.select("trip_ref", "plate_number", "c.*")
+
+
 def exit_dwells(events: DataFrame, trips: DataFrame, impute_dwell: bool = True) -> DataFrame:
     """Every exit with the entry it is paired with and its dwell minutes."""
     seg = _segments(events, trips).filter("leave is not null")

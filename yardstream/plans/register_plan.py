@@ -1,4 +1,4 @@
-"""The batch register: reads in, five register tables out."""
+"""The batch register: reads in, the rows of the register tables out."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from yardstream.functions.plate_rules import plate_clean
 from yardstream.operators import register as R
+from yardstream.operators import trips as T
 from yardstream.operators.dedup import dedup_passages
 from yardstream.sources.tables import staged
 
@@ -61,10 +62,14 @@ class RegisterTables:
 
     detections: DataFrame
     predictions: DataFrame
+    prediction_frames: DataFrame
     events: DataFrame
     decisions: DataFrame
     alerts: DataFrame
     deliveries: DataFrame
+    trips: DataFrame
+    trip_history: DataFrame
+    vehicle_status: DataFrame
 
     def items(self):
         return vars(self).items()
@@ -79,10 +84,14 @@ def register_batch(
     watchlist: DataFrame,
     dedup_seconds: int = 15,
     policy: str = "confidence_first",
+    trips: DataFrame | None = None,
 ) -> RegisterTables:
     """JSON read messages (read_id, ts, payload) to register rows.
 
-    Duplicates keep their detection and prediction rows but add no event.  The
+    Duplicates keep their detection, prediction and frame rows but add no event.
+    Passages move the open ``trips`` (trip_id, plate_number, status,
+    actual_entry_time; none given: none open) and make automatic ones; exits get
+    their dwell minutes, vehicles their latest status.  The
     parsed reads and the decided passages feed several outputs each, so both are
     written once to the shared folder and read back.
     """
@@ -109,10 +118,16 @@ def register_batch(
         {"read_id": "event_id", "fused_plate": "plate_number", "gate_ref": "gate_name"}
     )
     df = staged(df, "passages")
-    events = df.select(
+    if trips is None:
+        trips = messages.sparkSession.createDataFrame([], "trip_id long, plate_number string, status string, actual_entry_time timestamp_ntz")
+    dwell = T.exit_dwells(df, trips).select(F.col("event_id").alias("_exit"), "dwell_minutes")
+    events = df.join(dwell, F.col("event_id") == F.col("_exit"), "left").select(
         "event_id", "vehicle_id", "gate_id", "camera_id", "event_type", "plate_number", "vehicle_type", "transporter",
-        "gate_name", F.col("camera_code").alias("camera_name"), "confidence", "decision", "is_corrected", "ts",
+        "gate_name", F.col("camera_code").alias("camera_name"), "confidence", "decision", "is_corrected", "dwell_minutes", "ts",
     )
     decisions = df.select("event_id", "gate_id", "decision", "reason", "rule_matched", "ts")
     alerts = R.alert_rows(df)
-    return RegisterTables(detections, predictions, events, decisions, alerts, R.alert_deliveries(alerts))
+    return RegisterTables(
+        detections, predictions, R.explode_frames(base), events, decisions, alerts, R.alert_deliveries(alerts),
+        T.progress_trips(df, trips), T.trip_history(df, trips), R.latest_vehicle_status(df),
+    )
