@@ -22,7 +22,6 @@ of all documents of earlier shards.
 
 from __future__ import annotations
 
-import re
 import sys
 import types
 import zlib
@@ -41,7 +40,7 @@ END_ID = 2
 SHARD_BYTES = 4 << 20
 SHARD_DOCS = 16_384
 #: Distinct white-space separated chunks whose ids a worker remembers.
-MEMO = 800_000
+MEMO = 500_000
 _BUCKET = 4
 _SHARDS = "part long, piece long, n_ids long, width int, payload binary, keys array<long>, seeds binary, fingerprints binary, offsets binary, lengths binary, low long, high long"
 
@@ -99,8 +98,7 @@ def fingerprint(hashes: np.ndarray) -> np.ndarray:
     return (_mix(hashes, 0) >> np.uint64(32)).astype("<u4")
 
 
-#: A single mark between a letter and a space: a token of its own anyway, so a space before it changes nothing.
-_MARK = re.compile(r"(?<=[A-Za-z])([.,;:!?])(?= )")
+_MARKS = ".,;:!?"
 
 
 class Encoder:
@@ -108,42 +106,76 @@ class Encoder:
 
     The tokenizer drops white space and no token crosses it, so a text's ids are
     those of its white-space separated chunks; a chunk met before is not encoded
-    again.  New chunks are encoded together, with the vocabulary's end-of-text
-    mark between them, which is always a token of its own; its id shows where
-    the next chunk begins.
+    again.  New chunks are encoded together:
+
+    * Words of Latin letters up to U+00FF pass the steps before the model as
+      their small letters' bytes, so the same model is given them directly,
+      split at spaces; the vocabulary tells which tokens end a word.  One mark
+      after a word is a token of its own.
+    * Other chunks take the whole tokenizer, with the vocabulary's end-of-text
+      mark between them, which is always a token of its own.
     """
 
     def __init__(self, path: str, width: int):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer, self.kind, self.memo = Tokenizer.from_file(path), f"<u{width}", {}
         special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special}
         self.mark = next((m for m in special if not m.isspace()), None)
         self.mark_id = special.get(self.mark)
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        lowers = isinstance(self.tokenizer.normalizer, normalizers.Sequence) and self.tokenizer.normalizer.normalize_str("AZ") == "az"
+        self.model = None
+        if suffix and lowers:
+            self.model = Tokenizer(self.tokenizer.model)
+            self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+            ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
+            self.ends = ends
+            self.marks = {m: self._alone(m) for m in _MARKS}
+
+    def _alone(self, chunk: str) -> bytes:
+        return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def _cut(self, part: list[str], ids: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
+        if len(low) != len(part):
+            raise ValueError("this tokenizer does not keep chunks apart")
+        raw, size = ids.astype(self.kind).tobytes(), int(self.kind[2])
+        self.memo.update(zip(part, [raw[a:b] for a, b in zip((low * size).tolist(), (high * size).tolist())]))
 
     def _learn(self, chunks: list[str]) -> None:
-        alone = [c for c in chunks if self.mark is None or "<" in c or ">" in c]
-        for chunk, got in zip(alone, self.tokenizer.encode_batch(alone, add_special_tokens=False)):
-            self.memo[chunk] = np.array(got.ids, self.kind).tobytes()
-        known = set(alone)
-        together = [c for c in chunks if c not in known]
-        parts = [together[i : i + 512] for i in range(0, len(together), 512)]
-        lines = [self.mark.join(part) for part in parts]
-        for part, got in zip(parts, self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)):
+        memo, words, derived, others = self.memo, {}, [], []
+        for chunk in chunks:
+            if self.model is not None and chunk and (chunk.isascii() or max(chunk) <= "\xff"):
+                word = chunk.lower()
+                mark = word[-1:] if word[-1:] in self.marks else ""
+                word = word[: len(word) - len(mark)]
+                if word.isalpha():
+                    if word not in memo:
+                        words[word] = None
+                    if word != chunk:
+                        derived.append((chunk, word, mark))
+                    continue
+            others.append(chunk)
+        new = list(words)
+        parts = [new[i : i + 512] for i in range(0, len(new), 512)]
+        for part, got in zip(parts, self.model.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False) if parts else ()):
+            ids = np.array(got.ids, np.uint32)
+            high = np.flatnonzero(self.ends[ids]) + 1
+            self._cut(part, ids, np.concatenate([[0], high[:-1]]), high)
+        for chunk, word, mark in derived:
+            memo[chunk] = memo[word] + self.marks[mark] if mark else memo[word]
+        for chunk in [c for c in others if self.mark is None or "<" in c or ">" in c]:
+            memo[chunk] = self._alone(chunk)
+        new = [c for c in others if c not in memo]
+        parts = [new[i : i + 512] for i in range(0, len(new), 512)]
+        for part, got in zip(parts, self.tokenizer.encode_batch_fast([self.mark.join(p) for p in parts], add_special_tokens=False) if parts else ()):
             ids = np.array(got.ids, np.uint32)
             cuts = np.flatnonzero(ids == self.mark_id)
-            raw, size = ids.astype(self.kind).tobytes(), int(self.kind[2])
-            low = [0, *((cuts + 1) * size).tolist()]
-            high = [*(cuts * size).tolist(), len(raw)]
-            if len(low) != len(part):
-                raise ValueError("the end-of-text mark is not kept apart by this tokenizer")
-            self.memo.update(zip(part, (raw[a:b] for a, b in zip(low, high))))
+            self._cut(part, ids, np.concatenate([[0], cuts + 1]), np.concatenate([cuts, [len(ids)]]))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        chunks = []
-        for text in texts:
-            text = _MARK.sub(r" \1", (text or "").replace("\n", " ").replace("\t", " ").replace("\r", " "))
-            chunks.append((text.lower() if text.isascii() else text).split(" "))
+        chunks = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         memo, distinct = self.memo, dict.fromkeys(chain.from_iterable(chunks))
         if len(memo) > MEMO:
             for chunk in list(islice(memo, len(memo) // 2)):  # the oldest half goes; what is common is soon back
