@@ -16,7 +16,8 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from yardstream.llm.common import arrow_schema, map_batches, staged, text_slices
@@ -29,7 +30,7 @@ LEAST = 3
 #: Disclosure (PMI / IC) from which a term is generalised, and from which it is removed.
 GENERALISE, REMOVE = 0.6, 0.9
 #: Text hashes that the sketch of a term keeps.
-SKETCH = 64
+SKETCH, MERGES = 64, 512
 #: Candidate terms that a pass over the documents looks for; more take further passes.
 PASS_TERMS = 1_000_000
 
@@ -139,8 +140,9 @@ def _candidates(found: DataFrame) -> DataFrame:
 def _rough_counts(documents: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, n_t): about how many different texts hold each candidate term, by bottom-k sketches of all texts.
 
-    A task keeps the SKETCH smallest text hashes of a term: few rows, however
-    common the term.  Below SKETCH the count is exact.
+    A task keeps the SKETCH smallest text hashes of a term: one row, however
+    common the term.  Sketches are merged in two steps, so that none holds
+    those of all tasks.  Below SKETCH the count is exact.
     """
     n = terms.count()
     passes = -(-n // PASS_TERMS)
@@ -159,17 +161,17 @@ def _rough_counts(documents: DataFrame, terms: DataFrame) -> DataFrame:
                             if at == len(marks) or marks[at] != mark:
                                 marks.insert(at, mark)
                                 del marks[SKETCH:]
-            names = [t for t, m in least.items() for _ in m]
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([x for m in least.values() for x in m], pa.int64())], ["term", "mark"])
+            task = TaskContext.get().partitionId() % MERGES
+            yield pa.RecordBatch.from_arrays([pa.array(list(least), pa.string()), pa.array([task] * len(least), pa.int32()), pa.array(list(least.values()), pa.list_(pa.int64()))], ["term", "task", "marks"])
 
-        got = map_batches(_keyed(documents), run, "term string, mark long")
+        got = map_batches(_keyed(documents), run, "term string, task int, marks array<long>")
         out = got if out is None else out.unionByName(got)
     if out is None:
         return spark.createDataFrame([], "term string, n_t double")
-    order = Window.partitionBy("term").orderBy("mark")
-    low = out.distinct().withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= SKETCH)
-    share = (F.max("mark").cast("double") + 2.0**63) / 2.0**64
-    return low.groupBy("term").agg(F.when(F.count("*") < SKETCH, F.count("*")).otherwise((SKETCH - 1) / share).cast("double").alias("n_t"))
+    smallest = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("marks")))), 1, SKETCH).alias("marks")
+    merged = out.groupBy("term", "task").agg(smallest).groupBy("term").agg(smallest)
+    share = (F.array_max("marks").cast("double") + 2.0**63) / 2.0**64
+    return merged.select("term", F.when(F.size("marks") < SKETCH, F.size("marks")).otherwise((SKETCH - 1) / share).cast("double").alias("n_t"))
 
 
 def _worth_counting(candidates: DataFrame, rough: DataFrame, n_texts: int) -> DataFrame:
