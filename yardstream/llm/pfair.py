@@ -15,7 +15,7 @@ BLOCK = 8
 #: Slots of a period; weights are rounded to multiples of 1 / PERIOD.
 PERIOD = 4096
 #: Rows that a numbering task should meet.
-SLICE_ROWS = 20_000
+SLICE_ROWS = 2_000
 
 
 def quantised(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
