@@ -227,14 +227,16 @@ def hex64(value: Column) -> Column:
     return F.lower(F.lpad(F.hex(value), 16, "0"))
 
 
-def keep_one_per_group(documents: DataFrame, bucket: int = BUCKET) -> DataFrame:
+def keep_one_per_group(documents: DataFrame, bucket: int = BUCKET, groups: DataFrame | None = None) -> DataFrame:
     """``documents`` without near copies: of each group the row with the smallest doc_id stays.
 
-    Columns and their order are those of the input.  Rows with a null doc_id
+    ``groups`` (doc_id, component_id) are the groups, by default those of
+    ``near_duplicates``.  Columns and their order are those of the input.  Rows with a null doc_id
     stay (nothing names them); of rows repeating a doc_id one stays.
     """
     names = documents.columns
-    drop = near_duplicates(documents, bucket).filter("doc_id <> component_id").select(F.col("doc_id").alias("_copy")).distinct()
+    groups = near_duplicates(documents, bucket) if groups is None else groups
+    drop = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("_copy")).distinct()
     rows = documents.join(staged(drop, "copies"), F.col("doc_id") == F.col("_copy"), "left_anti")
     once = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))
     return rows.withColumn("_nth", once).filter("_nth = 1 or doc_id is null").select(*names)
