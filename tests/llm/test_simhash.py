@@ -94,6 +94,15 @@ def test_keep_one(docs_of):
     assert simhash.keep_one_per_group(df).columns == df.columns
 
 
+def test_rows_without_id_do_not_share_a_task(spark, docs_of):
+    from pyspark.sql import functions as F
+
+    df = docs_of([(None, f"text {i}") for i in range(400)] + [(1, "one two")]).repartition(8)
+    kept = simhash.keep_one_per_group(df).withColumn("part", F.spark_partition_id())
+    sizes = [r["count"] for r in kept.filter("doc_id is null").groupBy("part").count().collect()]
+    assert sum(sizes) == 400 and max(sizes) < 200
+
+
 def test_empty_table(docs_of):
     assert simhash.near_duplicates(docs_of([])).count() == 0
     assert simhash.keep_one_per_group(docs_of([])).count() == 0

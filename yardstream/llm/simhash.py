@@ -237,6 +237,7 @@ def keep_one_per_group(documents: DataFrame, bucket: int = BUCKET, groups: DataF
     names = documents.columns
     groups = near_duplicates(documents, bucket) if groups is None else groups
     drop = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("_copy")).distinct()
-    rows = documents.join(staged(drop, "copies"), F.col("doc_id") == F.col("_copy"), "left_anti")
+    rows = documents.filter("doc_id is not null").join(staged(drop, "copies"), F.col("doc_id") == F.col("_copy"), "left_anti")
     once = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))
-    return rows.withColumn("_nth", once).filter("_nth = 1 or doc_id is null").select(*names)
+    named = rows.withColumn("_nth", once).filter("_nth = 1").select(*names)
+    return named.unionAll(documents.filter("doc_id is null"))  # not through the window: they would share one task
