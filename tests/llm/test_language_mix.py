@@ -42,6 +42,17 @@ def test_mixed_document_gets_both_languages(documents, learned):
     assert set(alone[3]) == {"en"}
 
 
+def test_five_languages_in_one_document():
+    alphabets = ["abcdef", "ghijkl", "mnopqr", "stuvwx", "йцукен"]
+    words = [[a + b + c for a in x for b in x for c in x] for x in alphabets]
+    counts = np.stack([np.bincount(L._trigrams(w)[0], minlength=L.CELLS) for w in words])
+    names = [f"l{i}" for i in range(5)]
+    text = " ".join(w for x, n in zip(words, (120, 100, 80, 60, 40)) for w in x[:n])
+    lang, score, _, shares = L.infer([text], memory_of((names, counts.tobytes())))[0]
+    assert lang == "l0" and set(shares) == set(names)
+    assert abs(score - 0.3) < 0.02 and abs(shares["l4"] - 0.1) < 0.02
+
+
 def test_em_raises_the_likelihood_to_the_best_share():
     rng = np.random.default_rng(1)
     w = rng.random((300, 2)).astype(np.float32) + 0.01

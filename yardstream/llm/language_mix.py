@@ -19,7 +19,7 @@ CELLS = 262_139
 UNDETERMINED = "und"
 #: Pseudo-count of a trigram that a language hasn't shown.
 SMOOTH = 0.5
-EM_ROUNDS, MOST_LANGUAGES = 8, 4
+EM_ROUNDS = 8
 #: Distinct chunks whose likelihoods a worker remembers.
 MEMO = 100_000
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -174,7 +174,7 @@ def infer(texts: list[str | None], memory: Memory) -> list[tuple[str, float, flo
     chosen[np.arange(len(n)), single.argmax(axis=1)] = 1.0
     size_of = np.ones(len(n), int)
     going = np.arange(len(n))
-    for m in range(2, min(k, MOST_LANGUAGES) + 1):
+    for m in range(2, k + 1):
         going = going[share[going, order[going, m - 1]] * n[going] >= 0.5]
         if not len(going):
             break
@@ -218,7 +218,9 @@ def identify(documents: DataFrame, learned: tuple[list[str], bytes]) -> DataFram
     Each word is drawn from one of the document's languages, with the
     probability of its character trigrams.  EM finds the shares; a further
     language is accepted when it raises the log-likelihood by more than half the
-    logarithm of the number of words.  lang_pred has the largest share (ties:
+    logarithm of the number of words.  Languages are tried in the order of their
+    shares, up to all learned ones; the first that is not accepted ends the
+    search.  lang_pred has the largest share (ties:
     the first in alphabetical order); score is that share, or for a single
     language its posterior; known is the share of trigrams that any language
     has shown; languages maps the chosen ones to their shares.
