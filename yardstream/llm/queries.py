@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from yardstream.llm import chat_format, language_mix, minhash, pfair, pii, quality_mil, simhash, suffix_decontam, token_store, url_lm
+from yardstream.llm import chat_format, fim_frames, language_mix, minhash, pfair, pii, quality_mil, simhash, suffix_decontam, token_store, url_lm
 from yardstream.llm.common import crc_mod
 
 
@@ -75,6 +75,10 @@ def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_lm.filter_urls(_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim_frames.fill_in_middle(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -84,13 +88,13 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_personal_data": personal_data, "op2_decontaminate": decontaminate, "op3_chat_round_trip": chat_round_trip, "op4_language_id": language_id,
     "op5_quality": quality, "op6_fingerprints": fingerprints, "op7_simhash": simhash_groups, "op8_source_mix": source_mix, "op9_token_ids": token_ids,
-    "op10_url_filter": url_filter, "pipeline": pipeline,
+    "op10_url_filter": url_filter, "op13_fill_in_middle": fill_in_middle, "pipeline": pipeline,
 }
 
 _WORDS = r"""regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 _MARKS = r"([|]im_start[|]>|[|]im_end[|]>|[|]endoftext[|]>|/?s>|/?INST\])"
 
-#: Only these two can be written in SQL: the others need 64-bit hashes, models, positions of matches or the tokenizer.
+#: Only these can be written in SQL: the others need 64-bit hashes, models, positions of matches or the tokenizer.
 ORACLE: dict[str, str] = {
     "op2_decontaminate": f"""
 with d as (select doc_id, coalesce({_WORDS}, []) as w from documents), b as (select cast(item_id as varchar) as item, {_WORDS} as w from benchmark where text is not null),
@@ -108,4 +112,13 @@ e as (select *, regexp_replace(text, '([<\[])(\\*){_MARKS}', '\1\2\\\3', 'g') as
 c as (select conv_id, count(*) as n_turns, string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text) as every, coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '') as loss,
   sum(length('<|im_start|>') + length(role) + 1 + length(quoted) + length('<|im_end|>') + 1) as formatted_chars, count(*) filter (quoted <> text) as n_escaped from e group by 1)
 select conv_id, n_turns, sha256(every) as turns_sha256, length(loss) as loss_chars, sha256(loss) as loss_sha256, formatted_chars::bigint as formatted_chars, n_escaped, true as round_trip from c""",
+    "op13_fill_in_middle": """
+with d as (select doc_id, coalesce(text, '') as text, length(coalesce(text, '')) as n, sha256('1:' || coalesce(cast(doc_id as varchar), '')) as x from documents),
+h as (select *, ('0x' || substr(x, 1, 8))::bigint as h1, ('0x' || substr(x, 9, 8))::bigint as h2, ('0x' || substr(x, 17, 8))::bigint as h3, ('0x' || substr(x, 25, 8))::bigint as h4 from d),
+c as (select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+  case when n = 0 or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 % 100 >= 90 then 'plain' when h4 % 100 < 20 then 'spm' else 'psm' end as form from h),
+s as (select *, substr(text, 1, a) as p, substr(text, a + 1, b - a) as m, substr(text, b + 1) as s from c)
+select doc_id, n::bigint as n, form, case when form <> 'plain' then a end::bigint as prefix_chars, case when form <> 'plain' then b - a end::bigint as middle_chars,
+  sha256(case form when 'plain' then text when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256, sha256(text) as restored_sha256
+from s""",
 }
