@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from yardstream.llm import chat_format, fim_frames, language_mix, minhash, pfair, pii, quality_mil, simhash, suffix_decontam, token_store, url_lm
+from yardstream.llm import chat_format, dual_tree, fim_frames, language_mix, minhash, pfair, pii, quality_mil, simhash, suffix_decontam, token_store, url_lm
 from yardstream.llm.common import crc_mod
 
 
@@ -75,6 +75,10 @@ def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_lm.filter_urls(_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dual_tree.rank_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim_frames.fill_in_middle(_table(spark, sf_dir, "documents"))
 
@@ -88,7 +92,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_personal_data": personal_data, "op2_decontaminate": decontaminate, "op3_chat_round_trip": chat_round_trip, "op4_language_id": language_id,
     "op5_quality": quality, "op6_fingerprints": fingerprints, "op7_simhash": simhash_groups, "op8_source_mix": source_mix, "op9_token_ids": token_ids,
-    "op10_url_filter": url_filter, "op13_fill_in_middle": fill_in_middle, "pipeline": pipeline,
+    "op10_url_filter": url_filter, "op11_ranked_search": ranked_search, "op13_fill_in_middle": fill_in_middle, "pipeline": pipeline,
 }
 
 _WORDS = r"""regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
@@ -121,4 +125,12 @@ s as (select *, substr(text, 1, a) as p, substr(text, a + 1, b - a) as m, substr
 select doc_id, n::bigint as n, form, case when form <> 'plain' then a end::bigint as prefix_chars, case when form <> 'plain' then b - a end::bigint as middle_chars,
   sha256(case form when 'plain' then text when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256, sha256(text) as restored_sha256
 from s""",
+    "op11_ranked_search": r"""
+with d as (select row_number() over () as r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as w from documents where text is not null),
+i as (select distinct item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as t from benchmark where text is not null),
+s as (select count(*)::bigint as n_docs, sum(len(w))::bigint as n_words from d where len(w) > 0),
+c as (select r, doc_id, n, t, count(*)::bigint as tf from (select r, doc_id, len(w)::bigint as n, unnest(w) as t from d) where t in (select t from i) group by 1, 2, 3, 4),
+f as (select t, floor(1000 * ln((2 * n_docs + 2)::double / (2 * count(*) + 1)))::bigint as w from c, s group by t, n_docs),
+p as (select item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * n_docs) // n_words))))::bigint as score from c join f using (t) join i using (t), s group by 1, 2, 3)
+select item_id, rank::int as rank, doc_id, score from (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from p where score > 0) where rank <= 50""",
 }
