@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from yardstream.llm import chat_format, dual_tree, fim_frames, language_mix, minhash, pfair, pii, quality_mil, simhash, suffix_decontam, token_store, url_lm
+from yardstream.llm import chat_format, dual_tree, fim_frames, gated_rnn, language_mix, minhash, pfair, pii, quality_mil, simhash, suffix_decontam, token_store, url_lm
 from yardstream.llm.common import crc_mod
 
 
@@ -79,6 +79,13 @@ def ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dual_tree.rank_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    weights = gated_rnn.learn(documents, _table(spark, sf_dir, "labels").filter(crc_mod("doc_id", 4) != 2))
+    found = gated_rnn.score(documents, weights)
+    return found.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim_frames.fill_in_middle(_table(spark, sf_dir, "documents"))
 
@@ -92,7 +99,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_personal_data": personal_data, "op2_decontaminate": decontaminate, "op3_chat_round_trip": chat_round_trip, "op4_language_id": language_id,
     "op5_quality": quality, "op6_fingerprints": fingerprints, "op7_simhash": simhash_groups, "op8_source_mix": source_mix, "op9_token_ids": token_ids,
-    "op10_url_filter": url_filter, "op11_ranked_search": ranked_search, "op13_fill_in_middle": fill_in_middle, "pipeline": pipeline,
+    "op10_url_filter": url_filter, "op11_ranked_search": ranked_search, "op12_toxicity": toxicity, "op13_fill_in_middle": fill_in_middle, "pipeline": pipeline,
 }
 
 _WORDS = r"""regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
