@@ -48,9 +48,6 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-_POWERS = [_powers(_BASE, 1), _powers(_INVERSE, 1)]
-
-
 def _finished(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     return x ^ (x >> np.uint64(32))
@@ -84,10 +81,8 @@ class Words:
     def _hashes(self) -> np.ndarray:
         """A polynomial of each word's bytes, from running sums."""
         n = len(self.bytes)
-        if len(_POWERS[0]) < n:
-            _POWERS[:] = _powers(_BASE, n), _powers(_INVERSE, n)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((self.bytes.astype(np.uint64) + np.uint64(1)) * _POWERS[0][:n])])
-        return (sums[self.end] - sums[self.start]) * _POWERS[1][self.start]
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((self.bytes.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, n))])
+        return (sums[self.end] - sums[self.start]) * _powers(_INVERSE, n)[self.start]
 
     def _grams(self, at: np.ndarray) -> None:
         """Cells of the character n-grams of the distinct words (marks at both ends), and how many each word has."""
