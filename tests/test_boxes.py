@@ -105,6 +105,40 @@ def test_tracking(spark, mode, missed):
     assert got == want
 
 
+def crowded(frames, cars, seed, shared=False, grid=1):
+    """Detections of one video without a pause: cars drift, cross, vanish and come back; ``grid`` makes equal scores likely."""
+    rng = random.Random(seed)
+    place = [[rng.randrange(400), rng.randrange(200), rng.randrange(-4, 5), rng.randrange(-3, 4)] for _ in range(cars)]
+    dets = []
+    for f in range(frames):
+        for i, c in enumerate(place):
+            c[0], c[1] = (c[0] + c[2]) % 400, (c[1] + c[3]) % 200
+            if rng.random() < 0.7 or i == 0:
+                x, y = float(c[0] // grid * grid), float(c[1] // grid * grid)
+                dets.append((f, i, x, y, x + 60, y + 40, 0.5 if shared else round(rng.random(), 3)))
+    return dets
+
+
+@pytest.mark.parametrize("mode,missed", [("proximity", 30), ("proximity", 0), ("velocity", 10)])
+@pytest.mark.parametrize("grid", [1, 40])
+def test_chunks_of_a_video_without_pauses_equal_one_scan(spark, mode, missed, grid):
+    videos = {v: crowded(1500, 5, v, shared=True, grid=grid) for v in (None, 1)}
+    df = spark.createDataFrame([(v, *d) for v, ds in videos.items() for d in ds], "video_id long, frame_index int, box_id int, x1 double, y1 double, x2 double, y2 double, confidence double")
+    got = {(r.video_id, r.frame_index, r.box_id): r.track_id for r in T.assign_tracks(df, mode, max_missed=missed, chunk_frames=100).collect()}
+    assert got == {(v, *k): t for v, ds in videos.items() for k, t in simulate(ds, missed, mode == "velocity").items()}
+
+
+def test_borders_that_do_not_meet_run_again(spark, monkeypatch):
+    """A box that stands still keeps what a warm-up can't know: two parked cars whose boxes are the same."""
+    dets = [(f, i, 10.0 * (i // 2), 0.0, 50.0 + 10.0 * (i // 2), 40.0, 0.5) for f in range(2000) for i in range(4) if (f + i) % 3 or f < 5]
+    df = spark.createDataFrame([(1, *d) for d in dets], "video_id long, frame_index int, box_id int, x1 double, y1 double, x2 double, y2 double, confidence double")
+    rounds, stitch = [], T._stitch
+    monkeypatch.setattr(T, "_stitch", lambda *a: rounds.append(1) or stitch(*a))
+    got = {(r.frame_index, r.box_id): r.track_id for r in T.assign_tracks(df, max_missed=30, chunk_frames=100).collect()}
+    assert got == simulate(dets, 30, False)
+    assert len(rounds) > 1
+
+
 def test_frame_step():
     assert [max(1, round(f / 6)) for f in (25, 30, 3)] == [4, 5, 1]
 
@@ -120,11 +154,16 @@ def test_plateless_blocks_agree(spark):
     assert small.filter(F.col("merged_into").isNotNull()).count() > 10
 
 
-def test_large_tracks_by_rounds(spark):
+def test_reading_budget_against_a_plain_scan(spark):
     rng = random.Random(9)
     rows = [(t, f, f * 130 + rng.randrange(100), rng.random() < 0.6, rng.random() < 0.2) for t in range(40) for f in range(60)]
     df = spark.createDataFrame(rows, "track_id long, frame_number int, t_ms long, has_text boolean, confirms boolean")
-    scan = T.reading_budget(df).select("track_id", "frame_number", "run_ocr")
-    rounds = T.reading_budget(df, large_track=1).select("track_id", "frame_number", "run_ocr")
-    assert sorted(map(tuple, scan.collect())) == sorted(map(tuple, rounds.collect()))
-    assert scan.filter("run_ocr").count() > 80
+    want, state = [], {}
+    for t, f, ms, text, confirms in rows:
+        n, reads, done, last_ms, last_f = state.get(t, (0, 0, False, -(10**9), -(10**9)))
+        read = not done and n < 4 and reads < 3 and ms - last_ms >= 400 and f - last_f >= 2
+        if read:
+            state[t] = n + 1, reads + text, done or (text and confirms), ms, f
+        want.append((t, f, read))
+    assert sorted(map(tuple, T.reading_budget(df).select("track_id", "frame_number", "run_ocr").collect())) == sorted(want)
+    assert sum(r for _, _, r in want) > 80

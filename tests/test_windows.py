@@ -45,12 +45,6 @@ def test_spells(spark):
     assert got == want
 
 
-def test_split_by_size(spark):
-    small, large = W.split_by_size(data(spark), ["k"], 100)
-    assert {r.k for r in large.select("k").distinct().collect()} == {"hot"}
-    assert small.count() + large.count() == 600
-
-
 def test_percentiles(spark):
     rng = random.Random(4)
     rows = [("a", round(rng.expovariate(0.1), 2)) for _ in range(777)] + [("b", float(rng.randrange(3))) for _ in range(50)] + [("c", 5.0)]

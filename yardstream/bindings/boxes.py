@@ -127,6 +127,34 @@ w as (select track_id, rn, frame_number, t_ms, has_text, confirms, true as run,
 select {columns} from w"""
 
 
+def _track_sql(alive: int, velocity: bool) -> str:
+    """The greedy association as a recursion over the detections of every video: the live tracks are a list."""
+    moved = {c: f"(k.{c} + k.{c[0]}1 - k.b{c[0]})" if velocity else f"k.{c}" for c in ("x1", "y1", "x2", "y2")}
+    overlap = " * ".join(f"greatest(0.0, least({moved[a + '2']}, e.{a}2) - greatest({moved[a + '1']}, e.{a}1))" for a in "xy")
+    area = lambda x: f"(greatest(0.0, {x['x2']} - {x['x1']}) * greatest(0.0, {x['y2']} - {x['y1']}))"
+    own = {c: f"e.{c}" for c in ("x1", "y1", "x2", "y2")}
+    union = f"({area(own)} + {area(moved)} - {overlap})"
+    iou = f"(case when {union} > 0 then ({overlap}) / {union} else 0.0 end)"
+    gap = lambda a: f"(abs((e.{a}1 + e.{a}2) / 2.0 - (k.{a}1 + k.{a}2) / 2.0) / greatest(1.0, greatest(e.{a}2 - e.{a}1, k.{a}2 - k.{a}1)))"
+    far = f"sqrt({gap('x')} * {gap('x')} + {gap('y')} * {gap('y')})"
+    near = f"(case when {iou} > 0.15 or {far} < 0.40 then case when {far} < 0.8 then {iou} + greatest(0.0, (1.0 - {far}) * 0.4) else {iou} end else 0.0 end)"
+    score = f"(case when {iou} > 0.2 then {iou} else 0.0 end)" if velocity else near
+    fresh = "{'id': %s, 'x1': e.x1, 'y1': e.y1, 'x2': e.x2, 'y2': e.y2, 'bx': %s, 'by': %s, 'f': e.f}"
+    return f"""
+with v as (select cast(floor(frame_id/10) as bigint) as video_id, cast(frame_id%10 + (case when frame_id%10 >= 5 and floor(frame_id/10)%4 = 0 then 60 else 0 end) as bigint) as f, box_id, x1::double as x1, y1::double as y1, x2::double as x2, y2::double as y2, confidence from boxes),
+o as materialized (select *, row_number() over (partition by video_id order by f, confidence desc, box_id) as rn from v),
+w as (select e.video_id, e.f, e.box_id, e.rn, 1::bigint as track_id, 2::bigint as next, [{fresh % ("1::bigint", "e.x1", "e.y1")}] as live from o e where rn = 1
+  union all
+  select video_id, f, box_id, rn, coalesce(hit.id, next), case when hit is null then next + 1 else next end,
+    case when hit is null then list_append(live, {fresh.replace("e.", "") % ("next", "x1", "y1")})
+      else list_transform(live, lambda k: case when k.id = hit.id then {fresh.replace("e.", "") % ("k.id", "k.x1", "k.y1")} else k end) end
+  from (select *, case when list_max(scores) > 0 then live[list_position(scores, list_max(scores))] end as hit
+    from (select e.*, w.next, list_filter(w.live, lambda k: k.f >= e.f - 1 - {alive}) as live,
+      list_transform(list_filter(w.live, lambda k: k.f >= e.f - 1 - {alive}), lambda k: case when k.f = e.f then 0.0 else {score} end) as scores
+      from w join o e on e.video_id = w.video_id and e.rn = w.rn + 1)))
+select video_id, cast(f as int) as frame_index, box_id, track_id from w"""
+
+
 _TRACKS = """(select track_id%7 as video_id, track_id, case when track_id%4<>0 then min(true_plate) else '' end as plate_number, round(avg(ocr_confidence),6) as final_confidence,
   arg_max(ocr_confidence, frame_number) as ocr_confidence, max(ocr_confidence) as vehicle_confidence, count(*) as frames_seen, min(frame_number) as first_seen_frame, max(frame_number) as last_seen_frame,
   arg_max(x1, frame_number) as x1, arg_max(y1, frame_number) as y1, arg_max(x2, frame_number) as x2, arg_max(y2, frame_number) as y2 from frames group by track_id)"""
@@ -143,6 +171,9 @@ from (select frame_id, box_id as plate_id, x1+(box_id*37)%80 as x1, y1+(box_id*1
 join boxes b on b.frame_id = a.frame_id where ((a.x1+a.x2)/2 between b.x1-25 and b.x2+25 and (a.y1+a.y2)/2 between b.y1-25 and b.y2+25) or ({_I}) / ({_A}) > 0.40""",
     "nms_class_agnostic": _nms("{iou} >= 0.35 or {con} >= 0.50"),
     "nms_plain": _nms("{iou} > 0.45"),
+    "track_assign": _track_sql(30, False),
+    "track_assign_live": _track_sql(0, False),
+    "track_assign_velocity": _track_sql(10, True),
     "track_summary": """
 select track_id, min(frame_number) as first_seen_frame, max(frame_number) as last_seen_frame, count(*) as frames_seen, max(ocr_confidence) as vehicle_confidence,
  arg_max(x1, frame_number) as x1, arg_max(y1, frame_number) as y1, arg_max(x2, frame_number) as x2, arg_max(y2, frame_number) as y2 from frames group by 1""",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from yardstream.functions import geometry as G
 from yardstream.functions.windows import busy_spells, meet, running_sum, sorted_scan
+from yardstream.sources.tables import staged
 
 
 def sample_frames(df: DataFrame, fps: float, target_fps: float, frame: str = "frame_number") -> DataFrame:
@@ -50,6 +52,8 @@ class _Tracks:
         self.before = np.empty((0, 4))
         self.last = np.empty(0, dtype=np.int64)
         self.next_id = 1
+        #: Whether a box ever had two best tracks, so that their order decided.
+        self.tied = False
 
     def forget(self, oldest: int) -> None:
         live = self.last >= oldest
@@ -69,6 +73,7 @@ class _Tracks:
         for i, box in enumerate(boxes):
             best = int(scores[i].argmax()) if scores.shape[1] else -1
             if best >= 0 and scores[i, best] > 0.0:
+                self.tied = self.tied or int(np.count_nonzero(scores[i] == scores[i, best])) > 1
                 scores[:, best] = 0.0
                 owners.append(self.ids[best])
                 self.before[best] = self.boxes[best]
@@ -86,76 +91,191 @@ class _Tracks:
             self.last = np.append(self.last, [number] * len(fresh))
         return owners
 
+    def state(self) -> list[list]:
+        """[id, what the future depends on] of each live track, in order of creation."""
+        parts = [self.last[:, None], self.boxes, *([self.before] if self.velocity else [])]
+        return [[t, *row] for t, row in zip(self.ids, np.hstack(parts).tolist())]
 
-def assign_tracks(
-    detections: DataFrame,
-    mode: str = "proximity",
-    max_missed: int | None = None,
-    frame_step: int = 1,
-    video: str = "video_id",
-    frame: str = "frame_index",
-) -> DataFrame:
-    """Add ``track_id``: detections of one vehicle over the frames of a video.
+    def resume(self, state: list[list]) -> None:
+        """Go on from a state: its tracks are numbered from 1 in order."""
+        rows = np.array([row[1:] for row in state], dtype=float).reshape(len(state), 9 if self.velocity else 5)
+        self.ids, self.next_id = list(range(1, len(state) + 1)), len(state) + 1
+        self.last, self.boxes = rows[:, 0].astype(np.int64), rows[:, 1:5]
+        self.before = rows[:, 5:].copy() if self.velocity else self.boxes.copy()
 
-    ``proximity`` scores overlap plus centre distance (30 missed frames allowed,
-    0 for live view); ``velocity`` compares with the linearly moved box (10).
-    Association is sequential inside a video, but no track outlives a pause of
-    more than ``max_missed`` frames: each spell between pauses is one unit of
-    work, and track numbers are made consecutive afterwards.
+
+#: Columns that the tracker adds to the rows it reads and writes.
+_READ = "_f long, _spell long, _chunk long, _warm boolean, _seed string"
+_WRITTEN = "_local long, _summary string"
+
+
+def _track_chunks(velocity: bool, frame_step: int, alive: int, video: str):
+    """Rows of (video, spell, chunk) in order -> own rows with the chunk's own track number, and a summary row per chunk.
+
+    A chunk starts from the state in its seed row, or from nothing with the
+    frames before it as a warm-up.  The summary holds the live tracks before its
+    first own frame and after its last one.
     """
-    velocity = mode == "velocity"
-    missed = (10 if velocity else 30) if max_missed is None else max_missed
-    alive = missed * frame_step if velocity else missed
-    rows = detections.withColumn("_f", F.col(frame).cast("long"))
-    rows = busy_spells(rows, [video], "_f", alive + frame_step, 100_000, "_spell")
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, tracks, pending, number = None, None, [], None
+        current, tracks, pending, number, entry = None, None, [], None, None
 
         def settle() -> list[pd.DataFrame]:
             """Match the collected rows of one frame."""
+            nonlocal entry
             if not pending:
                 return []
             pdf = pd.concat(pending) if len(pending) > 1 else pending[0]
+            pending.clear()
             tracks.forget(number - frame_step - alive)
+            warm = bool(pdf["_warm"].iat[0])
+            if not warm and entry is None:
+                entry = {"first": number, "warm": tracks.next_id - 1, "entry": tracks.state()}
+                tracks.tied = False
             owners = tracks.frame(pdf[["x1", "y1", "x2", "y2"]].to_numpy(dtype=float), number)
-            pending.clear()
-            return [pdf.assign(_local=owners)]
+            return [] if warm else [pdf.assign(_local=owners, _summary=None)]
+
+        def summary() -> list[pd.DataFrame]:
+            if entry is None:
+                return []
+            text = json.dumps({**entry, "fresh": tracks.next_id - 1 - entry["warm"], "tied": tracks.tied, "exit": tracks.state()})
+            keys = {video: current[0], "_spell": current[1], "_chunk": current[2], "_summary": text}
+            return [pd.DataFrame({c: pd.Series([keys.get(c)], dtype=object) for c in columns})]
 
+        columns: list[str] = []
         for batch in batches:
-            done: list[pd.DataFrame] = []
-            marks = batch[[video, "_spell", "_f"]]
+            columns = [*batch.columns, "_local", "_summary"]
+            done, ended = [], []
+            marks = batch[[video, "_spell", "_chunk", "_f"]].astype(object).where(lambda x: x.notna(), None)
             new = (marks != marks.shift()).any(axis=1).to_numpy()
             starts = [*np.flatnonzero(new), len(batch)]
             if starts[0] != 0:
                 starts.insert(0, 0)
             for lo, hi in zip(starts, starts[1:]):
                 part = batch.iloc[lo:hi]
-                key, f = (part[video].iat[0], part["_spell"].iat[0]), int(part["_f"].iat[0])
+                key, f = tuple(marks[c].iat[lo] for c in (video, "_spell", "_chunk")), int(part["_f"].iat[0])
                 if key != current or f != number:
                     done += settle()
                 if key != current:
-                    current, tracks = key, _Tracks(velocity)
+                    ended += summary()
+                    current, tracks, entry = key, _Tracks(velocity), None
+                    if isinstance(part["_seed"].iat[0], str):
+                        tracks.resume(json.loads(part["_seed"].iat[0]))
                 number = f
-                pending.append(part)
+                seeded = part["_seed"].notna().to_numpy()
+                if not seeded.all():
+                    pending.append(part[~seeded] if seeded.any() else part)
             if done:
                 yield pd.concat(done)
-        last = settle()
-        if last:
-            yield last[0]
+            yield from ended
+        yield from settle()
+        yield from summary()
+
+    return scan
 
-    out = sorted_scan(rows, [video, "_spell"], ["_f", F.desc("confidence"), F.col("box_id")], scan, f"{fields}, _local long")
+
+def _stitch(velocity: bool, frame_step: int, alive: int, video: str):
+    """Summaries of a spell in order -> what each chunk's track numbers are, or the state that it has to start from.
+
+    A chunk holds when its first state is the last one of the chunk before: the
+    same live tracks, in the same order or without a tie in which order would
+    have decided.  Otherwise the chunk is asked for again with the right state;
+    what follows is judged as if it ended in the same state.
+    """
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, live, created = None, [], 0
+        for batch in batches:
+            out = []
+            keys = batch[[video, "_spell"]].astype(object).where(lambda x: x.notna(), None)
+            for v, spell, chunk, attempt, text in zip(keys[video], keys["_spell"], batch["_chunk"], batch["_try"], batch["_summary"]):
+                if (v, spell) != current:
+                    current, live, created = (v, spell), [], 0
+                own = json.loads(text)
+                before = sorted(t for t in live if t[1] >= own["first"] - frame_step - alive)  # by number: in order of creation
+                held = {tuple(t[1:]): t[0] for t in before}
+                found = [tuple(t[1:]) for t in own["entry"]]
+                same = len(held) == len(before) == len(found) == len(set(found)) and held.keys() == set(found)
+                holds = [t[1:] for t in own["entry"]] == [t[1:] for t in before] or (same and not own["tied"])
+                numbers = {t[0]: held.get(tuple(t[1:])) for t in own["entry"]} if not holds or same else {t[0]: b[0] for t, b in zip(own["entry"], before)}
+                out.append((v, spell, chunk, attempt, created, own["warm"], json.dumps(numbers), None if holds else json.dumps(before), created + own["fresh"]))
+                after = [[numbers.get(t[0]) if t[0] <= own["warm"] else created + t[0] - own["warm"], *t[1:]] for t in own["exit"]]
+                live = [t for t in after if t[0] is not None]
+                created += own["fresh"]
+            yield pd.DataFrame(out, columns=[video, "_spell", "_chunk", "_try", "_created", "_warm_tracks", "_numbers", "_seed", "_total"])
+
+    return scan
+
+
+def assign_tracks(
+    detections: DataFrame,
+    mode: str = "proximity",
+    max_missed: int | None = None,
+    frame_step: int = 1,
+    video: str = "video_id",
+    frame: str = "frame_index",
+    chunk_frames: int = 4096,
+) -> DataFrame:
+    """Add ``track_id``: detections of one vehicle over the frames of a video.
+
+    ``proximity`` scores overlap plus centre distance (30 missed frames allowed,
+    0 for live view); ``velocity`` compares with the linearly moved box (10).
+    A null video is a video like others.
+
+    Association is sequential inside a video, but no track outlives a pause of
+    more than ``max_missed`` frames: spells between pauses are independent.  A
+    spell is cut into chunks of about ``chunk_frames`` frames that run in parallel, each
+    from nothing a few track lives before its start.  Where the live tracks at
+    a border are those of the chunk before - nearly always, since what is not
+    seen fades - the chunk holds; the others run again from the right state,
+    until all borders meet.  The result is that of one scan over the video.
+    """
+    spark = detections.sparkSession
+    velocity = mode == "velocity"
+    missed = (10 if velocity else 30) if max_missed is None else max_missed
+    alive = missed * frame_step if velocity else missed
+    warm = 4 * (alive + frame_step)
+    width = max(chunk_frames * frame_step, 2 * warm)
+    names = detections.columns
+    rows = detections.withColumn("_f", F.col(frame).cast("long"))
+    rows = busy_spells(rows, [video], "_f", alive + frame_step, 100_000, "_spell")
+    rows = staged(rows.withColumn("_chunk", F.floor((F.col("_f") - F.col("_spell")) / width)), "track-rows")
+    plain = [f"{f.name} {f.dataType.simpleString()}" for f in detections.schema]
+    schema = ", ".join([*plain, _READ, _WRITTEN])
+    order = [F.col("_f"), F.col("_seed").isNull(), F.desc("confidence"), F.col("box_id")]
+    scan = _track_chunks(velocity, frame_step, alive, video)
+    run = lambda df, n: staged(sorted_scan(df, [video, "_spell", "_chunk"], order, scan, schema).withColumn("_try", F.lit(n)), "tracked")
+
+    ends = (F.col("_f") - F.col("_spell")) % width >= width - warm
+    places = F.when(ends, F.array(F.struct(F.col("_chunk").alias("c"), F.lit(False).alias("w")), F.struct((F.col("_chunk") + 1).alias("c"), F.lit(True).alias("w")))).otherwise(
+        F.array(F.struct(F.col("_chunk").alias("c"), F.lit(False).alias("w"))))
+    both = rows.withColumn("_at", F.explode(places)).select(*names, "_f", "_spell", F.col("_at.c").alias("_chunk"), F.col("_at.w").alias("_warm"), F.lit(None).cast("string").alias("_seed"))
+    runs, attempt = run(both, 0), 0
+    key = [video, "_spell", "_chunk"]
+    kind = detections.schema[video].dataType.simpleString()
+    while True:
+        latest = Window.partitionBy(*key).orderBy(F.desc("_try"))
+        summaries = runs.filter("_summary is not null").select(*key, "_try", "_summary").withColumn("_n", F.row_number().over(latest)).filter("_n = 1").drop("_n")
+        plan = staged(sorted_scan(summaries, [video, "_spell"], ["_chunk"], _stitch(velocity, frame_step, alive, video),
+                                  f"{video} {kind}, _spell long, _chunk long, _try int, _created long, _warm_tracks long, _numbers string, _seed string, _total long"), "track-plan")
+        again = plan.filter("_seed is not null").select(*key, "_seed")
+        if again.isEmpty():
+            break
+        attempt += 1
+        own = meet(rows, again.drop("_seed"), key).select(*names, "_f", "_spell", "_chunk", F.lit(False).alias("_warm"), F.lit(None).cast("string").alias("_seed"))
+        first = again.join(own.groupBy(*key).agg(F.min("_f").alias("_f")).select(F.col(video).alias("_v"), F.col("_spell").alias("_s"), F.col("_chunk").alias("_c"), "_f"),
+                           F.col(video).eqNullSafe(F.col("_v")) & (F.col("_spell") == F.col("_s")) & (F.col("_chunk") == F.col("_c")))
+        filled = {video: F.col(video), "_f": F.col("_f"), "_spell": F.col("_spell"), "_chunk": F.col("_chunk"), "_warm": F.lit(False), "_seed": F.col("_seed")}
+        seeds = first.select(*[filled.get(f.name, F.lit(None).cast(f.dataType)).alias(f.name) for f in own.schema])
+        runs = runs.unionByName(run(own.unionByName(seeds), attempt))
+
+    total = plan.groupBy(video, "_spell").agg(F.max("_total").alias("_n"))
     earlier = Window.partitionBy(video).orderBy("_spell").rowsBetween(Window.unboundedPreceding, -1)
-    offset = (
-        out.groupBy(video, "_spell").agg(F.max("_local").alias("_n"))
-        .select(video, "_spell", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
-    )
-    return (
-        out.join(offset, [video, "_spell"])
-        .withColumn("track_id", F.col("_local") + F.col("_offset"))
-        .select(*detections.columns, "track_id")
-    )
+    offset = total.select(video, "_spell", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
+    placed = meet(plan.drop("_seed", "_total"), offset, [video, "_spell"])
+    own_number = F.when(F.col("_local") > F.col("_warm_tracks"), F.col("_created") + F.col("_local") - F.col("_warm_tracks")).otherwise(
+        F.element_at(F.from_json("_numbers", "map<string, long>"), F.col("_local").cast("string")))
+    return meet(runs.filter("_summary is null"), placed, [*key, "_try"]).select(*names, (own_number + F.col("_offset")).alias("track_id"))
 
 
 # --- summaries ---------------------------------------------------------------------
