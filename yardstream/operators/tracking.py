@@ -118,58 +118,57 @@ def _track_chunks(velocity: bool, frame_step: int, alive: int, video: str):
     """
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, tracks, pending, number, entry = None, None, [], None, None
-
-        def settle() -> list[pd.DataFrame]:
-            """Match the collected rows of one frame."""
-            nonlocal entry
-            if not pending:
-                return []
-            pdf = pd.concat(pending) if len(pending) > 1 else pending[0]
-            pending.clear()
-            tracks.forget(number - frame_step - alive)
-            warm = bool(pdf["_warm"].iat[0])
-            if not warm and entry is None:
-                entry = {"first": number, "warm": tracks.next_id - 1, "entry": tracks.state()}
-                tracks.tied = False
-            owners = tracks.frame(pdf[["x1", "y1", "x2", "y2"]].to_numpy(dtype=float), number)
-            return [] if warm else [pdf.assign(_local=owners, _summary=None)]
-
-        def summary() -> list[pd.DataFrame]:
-            if entry is None:
-                return []
-            text = json.dumps({**entry, "fresh": tracks.next_id - 1 - entry["warm"], "tied": tracks.tied, "exit": tracks.state()})
-            keys = {video: current[0], "_spell": current[1], "_chunk": current[2], "_summary": text}
-            return [pd.DataFrame({c: pd.Series([keys.get(c)], dtype=object) for c in columns})]
-
-        columns: list[str] = []
-        for batch in batches:
-            columns = [*batch.columns, "_local", "_summary"]
-            done, ended = [], []
-            marks = batch[[video, "_spell", "_chunk", "_f"]].astype(object).where(lambda x: x.notna(), None)
-            new = (marks != marks.shift()).any(axis=1).to_numpy()
-            starts = [*np.flatnonzero(new), len(batch)]
-            if starts[0] != 0:
-                starts.insert(0, 0)
-            for lo, hi in zip(starts, starts[1:]):
-                part = batch.iloc[lo:hi]
-                key, f = tuple(marks[c].iat[lo] for c in (video, "_spell", "_chunk")), int(part["_f"].iat[0])
-                if key != current or f != number:
-                    done += settle()
+        current, tracks, entry, rest = None, None, None, None
+        ended: list[dict] = []
+
+        def finish() -> None:
+            if entry is not None:
+                text = json.dumps({**entry, "fresh": tracks.next_id - 1 - entry["warm"], "tied": tracks.tied, "exit": tracks.state()})
+                ended.append({video: current[0], "_spell": current[1], "_chunk": current[2], "_summary": text})
+
+        def frames(rows: pd.DataFrame, whole: bool) -> Iterator[pd.DataFrame]:
+            """Match the frames of ``rows``; unless these are the last ones, the last frame waits for what follows."""
+            nonlocal current, tracks, entry, rest
+            marks = [rows[c].astype(object).where(rows[c].notna(), None).to_numpy() for c in (video, "_spell", "_chunk", "_f")]
+            starts = np.flatnonzero(np.concatenate([[True], np.logical_or.reduce([m[1:] != m[:-1] for m in marks])]))
+            limits = [*starts.tolist(), len(rows)]
+            end = limits[-1] if whole else limits[-2]
+            boxes, seed, warm = rows[["x1", "y1", "x2", "y2"]].to_numpy(dtype=float), rows["_seed"].to_numpy(), rows["_warm"].to_numpy(dtype=bool)
+            local, own = np.zeros(len(rows), np.int64), np.zeros(len(rows), bool)
+            for lo, hi in zip(limits, limits[1:]):
+                if lo >= end:
+                    break
+                key, number = tuple(m[lo] for m in marks[:3]), int(marks[3][lo])
                 if key != current:
-                    ended += summary()
+                    finish()
                     current, tracks, entry = key, _Tracks(velocity), None
-                    if isinstance(part["_seed"].iat[0], str):
-                        tracks.resume(json.loads(part["_seed"].iat[0]))
-                number = f
-                seeded = part["_seed"].notna().to_numpy()
-                if not seeded.all():
-                    pending.append(part[~seeded] if seeded.any() else part)
-            if done:
-                yield pd.concat(done)
-            yield from ended
-        yield from settle()
-        yield from summary()
+                if isinstance(seed[lo], str):
+                    tracks.resume(json.loads(seed[lo]))
+                    lo += 1
+                if lo == hi:
+                    continue
+                tracks.forget(number - frame_step - alive)
+                if not warm[lo] and entry is None:
+                    entry = {"first": number, "warm": tracks.next_id - 1, "entry": tracks.state()}
+                    tracks.tied = False
+                local[lo:hi], own[lo:hi] = tracks.frame(boxes[lo:hi], number), not warm[lo]
+            rest = rows.iloc[end:]
+            if own.any():
+                yield rows[own].assign(_local=local[own], _summary=None)
+            if ended:
+                yield pd.DataFrame({c: pd.Series([row.get(c) for row in ended], dtype=object) for c in [*rows.columns, "_local", "_summary"]})
+                ended.clear()
+
+        for batch in batches:
+            if len(batch):
+                yield from frames(batch if rest is None or rest.empty else pd.concat([rest, batch]), False)
+        if rest is not None:
+            columns = [*rest.columns, "_local", "_summary"]
+            if len(rest):
+                yield from frames(rest, True)
+            finish()
+            if ended:
+                yield pd.DataFrame({c: pd.Series([row.get(c) for row in ended], dtype=object) for c in columns})
 
     return scan
 
