@@ -143,15 +143,48 @@ def test_frame_step():
     assert [max(1, round(f / 6)) for f in (25, 30, 3)] == [4, 5, 1]
 
 
-def test_plateless_blocks_agree(spark):
+def at_one_place(a, b, width=1280.0, height=720.0):
+    inter = overlap(a, b)
+    union = (a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - inter
+    return inter / union > 0.20 or (abs(a[0] + a[2] - b[0] - b[2]) / 2 / width < 0.22 and abs(a[1] + a[3] - b[1] - b[3]) / 2 / height < 0.35)
+
+
+def fold(bare, confirmed):
+    """The rule in order, one track at a time: (merged_into, is_kept) by track, and the tracks left."""
+    said, left = {}, {}
+    for v in {r[0] for r in bare + confirmed}:
+        have = [[*r] for r in sorted(confirmed, key=lambda r: r[-1]) if r[0] == v]
+        for r in sorted(r for r in bare if r[0] == v):
+            owner = next((k for k in have if at_one_place(r[6:10], k[6:10])), None)
+            said[v, r[1]] = (owner[1] if owner else None, owner is None and r[4] >= 2)
+            if owner:
+                owner[2:6] = min(owner[2], r[2]), max(owner[3], r[3]), owner[4] + r[4], max(owner[5], r[5])
+            elif r[4] >= 2:
+                have.append([*r])
+        left.update({(v, k[1]): tuple(k[2:6]) for k in have})
+    return said, left
+
+
+@pytest.mark.parametrize("area,size,block", [((3000, 2000), (80, 60), 1), ((9000, 7000), (900, 500), 64), ((1280, 720), (300, 50), 2)])
+def test_plateless_tracks_against_the_ordered_fold(spark, area, size, block):
     rng = random.Random(11)
-    schema = "video_id long, track_id long, frames_seen long, position long, x1 double, y1 double, x2 double, y2 double"
-    make = lambda n, base: [(rng.randrange(2), base + i, rng.randrange(1, 4), base + i, *(lambda x, y: (x, y, x + 80, y + 60))(float(rng.randrange(3000)), float(rng.randrange(2000)))) for i in range(n)]
-    bare, conf = spark.createDataFrame(make(60, 1000), schema), spark.createDataFrame(make(90, 0), schema)
-    small = T.attach_plateless(bare, conf, 1280.0, 720.0, block=3).select("track_id", "merged_into", "is_kept")
-    large = T.attach_plateless(bare, conf, 1280.0, 720.0, block=1000).select("track_id", "merged_into", "is_kept")
-    assert sorted(map(tuple, small.collect()), key=str) == sorted(map(tuple, large.collect()), key=str)
-    assert small.filter(F.col("merged_into").isNotNull()).count() > 10
+    schema = "video_id long, track_id long, first_seen_frame int, last_seen_frame int, frames_seen long, vehicle_confidence double, x1 double, y1 double, x2 double, y2 double"
+    box = lambda x, y, w, h: (float(x), float(y), float(x + w), float(y + h))
+    make = lambda n, base: [(rng.randrange(2), base + i, rng.randrange(50), 50 + rng.randrange(50), rng.randrange(1, 4), round(rng.random(), 3), *box(rng.randrange(-100, area[0]), rng.randrange(area[1]), rng.randrange(5, size[0]), rng.randrange(5, size[1]))) for i in range(n)]
+    bare, confirmed = make(150, 1000), [(*r, (r[1] * 7) % 41) for r in make(40, 0)]
+    sides = spark.createDataFrame(bare, schema), spark.createDataFrame(confirmed, schema + ", position long")
+    said, left = fold(bare, confirmed)
+    got = {(r.video_id, r.track_id): (r.merged_into, r.is_kept) for r in T.attach_plateless(*sides, 1280.0, 720.0, block).collect()}
+    assert got == said
+    whole = {(r.video_id, r.track_id): (r.first_seen_frame, r.last_seen_frame, r.frames_seen, r.vehicle_confidence) for r in T.consolidate_tracks(*sides, 1280.0, 720.0, block).collect()}
+    assert whole == left
+
+
+def test_plateless_tracks_without_partners(spark):
+    schema = "video_id long, track_id long, frames_seen long, x1 double, y1 double, x2 double, y2 double"
+    bare, none = spark.createDataFrame([(1, 1, 1, 0.0, 0.0, 9.0, 9.0), (1, 2, 2, 0.0, 0.0, 9.0, 9.0), (1, 3, 1, 0.0, 0.0, 9.0, 9.0)], schema), spark.createDataFrame([], schema + ", position long")
+    assert sorted((r.track_id, r.merged_into, r.is_kept) for r in T.attach_plateless(bare, none, 1280.0, 720.0).collect()) == [(1, None, False), (2, None, True), (3, 2, False)]
+    assert T.attach_plateless(bare.limit(0), none, 1280.0, 720.0).collect() == []
 
 
 def test_reading_budget_against_a_plain_scan(spark):

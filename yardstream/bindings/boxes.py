@@ -49,12 +49,14 @@ def _merge_frames(s, d):
     return T.merge_frame_predictions(f, ["video_id", "plate"])
 
 
+def _sides(s, d):
+    """Plate-less tracks, and confirmed ones in the order in which they were created."""
+    t = staged(tracks(s, d), "tracks").drop("ocr_confidence", "final_confidence")
+    return t.filter("plate_number = ''"), t.filter("plate_number <> ''").withColumn("position", F.col("track_id"))
+
+
 def _plateless(s, d):
-    t = staged(tracks(s, d), "tracks")
-    # confirmed order: as they were first created
-    conf = t.filter("plate_number <> ''").select("video_id", "track_id", F.col("track_id").alias("position"), "x1", "y1", "x2", "y2")
-    bare = t.filter("plate_number = ''").select("video_id", "track_id", "frames_seen", "x1", "y1", "x2", "y2")
-    return T.attach_plateless(bare, conf, 1280.0, 720.0).select("video_id", "track_id", "merged_into", "is_kept")
+    return T.attach_plateless(*_sides(s, d), 1280.0, 720.0).select("video_id", "track_id", "merged_into", "is_kept")
 
 
 def _budget(s, d):
@@ -88,6 +90,7 @@ QUERIES = {
     "rank_detections": lambda s, d: T.rank_detections(tracks(s, d)).select("video_id", "track_id", "plate_number", F.col("detection_no").cast("long").alias("detection_no")),
     "merge_frame_predictions": _merge_frames,
     "merge_plateless": _plateless,
+    "consolidated_tracks": lambda s, d: T.consolidate_tracks(*_sides(s, d), 1280.0, 720.0),
     "last_n_observations": lambda s, d: T.last_observations(D.frames(s, d), ["track_id"], "frame_number", 3).select("track_id", "frame_number", "raw_text"),
     "frame_sampling": lambda s, d: T.sample_frames(D.frames(s, d), 15.0, 6.0).select("track_id", "frame_number"),
     "ocr_budget": _budget,
@@ -159,6 +162,17 @@ _TRACKS = """(select track_id%7 as video_id, track_id, case when track_id%4<>0 t
   arg_max(ocr_confidence, frame_number) as ocr_confidence, max(ocr_confidence) as vehicle_confidence, count(*) as frames_seen, min(frame_number) as first_seen_frame, max(frame_number) as last_seen_frame,
   arg_max(x1, frame_number) as x1, arg_max(y1, frame_number) as y1, arg_max(x2, frame_number) as x2, arg_max(y2, frame_number) as y2 from frames group by track_id)"""
 
+_PLACE = "(({i}) / ({a} + {b} - {i}) > 0.20 or (abs((a.x1+a.x2)/2-(b.x1+b.x2)/2)/1280.0 < 0.22 and abs((a.y1+a.y2)/2-(b.y1+b.y2)/2)/720.0 < 0.35))".format(i=_I, a=_A, b=_B)
+_MERGED = f"""
+with t as materialized (select * from {_TRACKS}), c as (select * from t where plate_number <> ''), n as (select *, row_number() over (partition by video_id order by track_id) as rn from t where plate_number = ''),
+m as materialized (select a.track_id, min(b.track_id) as owner from n a join c b on b.video_id = a.video_id and {_PLACE} group by 1),
+o as materialized (select n.*, m.owner as seen from n left join m using (track_id)),
+w as (select video_id, rn, track_id, seen as owner, seen is null and frames_seen >= 2 as keep, case when seen is null and frames_seen >= 2 then [{{'id': track_id, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}}] else [] end as kept from o where rn = 1
+  union all
+  select video_id, rn, track_id, owner, owner is null and frames_seen >= 2, case when owner is null and frames_seen >= 2 then list_append(kept, {{'id': track_id, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}}) else kept end
+  from (select a.*, w.kept, coalesce(a.seen, list_filter(w.kept, lambda b: {_PLACE})[1].id) as owner from w join o a on a.video_id = w.video_id and a.rn = w.rn + 1))
+"""
+
 ORACLE = {
     "box_iou": f"""
 select frame_id, box_id, w, h, area, iou, sqrt(dx*dx + dy*dy) as center_distance, containment from (
@@ -198,11 +212,11 @@ from {_TRACKS}""",
 select video_id, plate, frame_number, track_id, plate_number, confidence from (
  select track_id%7 as video_id, true_plate as plate, frame_number, track_id, raw_text as plate_number, ocr_confidence as confidence,
   row_number() over (partition by track_id%7, true_plate, frame_number order by track_id) as rn from frames) where rn = 1""",
-    "merge_plateless": f"""
-with t as (select * from {_TRACKS}), c as (select * from t where plate_number <> ''), n as (select * from t where plate_number = ''),
-m as (select a.track_id, min(b.track_id) as owner from n a join c b on b.video_id = a.video_id
- and (({_I}) / ({_A} + {_B} - {_I}) > 0.20 or (abs((a.x1+a.x2)/2-(b.x1+b.x2)/2)/1280.0 < 0.22 and abs((a.y1+a.y2)/2-(b.y1+b.y2)/2)/720.0 < 0.35)) group by 1)
-select n.video_id, n.track_id, m.owner as merged_into, m.owner is null and frames_seen >= 2 as is_kept from n left join m on m.track_id = n.track_id""",
+    "merge_plateless": _MERGED + "select video_id, track_id, case when not keep then owner end as merged_into, keep as is_kept from w",
+    "consolidated_tracks": _MERGED + """, z as (select video_id, case when keep or owner is null then track_id else owner end as track_id, track_id as member, case when keep then false end as has_plate from w where keep or owner is not null
+  union all select video_id, track_id, track_id, true from t where plate_number <> '')
+select z.video_id, z.track_id, bool_or(z.has_plate) as has_plate, min(first_seen_frame) as first_seen_frame, max(last_seen_frame) as last_seen_frame, cast(sum(frames_seen) as bigint) as frames_seen, max(vehicle_confidence) as vehicle_confidence, count(*) as merged_tracks
+from z join t on t.track_id = z.member group by 1, 2""",
     "last_n_observations": "select track_id, frame_number, raw_text from (select *, row_number() over (partition by track_id order by frame_number desc) as rn from frames) where rn <= 3",
     "frame_sampling": "select track_id, frame_number from frames where frame_number % 2 = 0",
     "ocr_budget": _budget_sql(4, 3, 400, 2, "confidence >= 0.55", "confidence >= 0.75", "track_id, frame_number, t_ms, has_text, confirms, run as run_ocr"),

@@ -348,48 +348,123 @@ def last_observations(df: DataFrame, keys: list[str], order: str, n: int = 30) -
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
 
 
-def attach_plateless(plateless: DataFrame, confirmed: DataFrame, width: float, height: float, block: int = 64) -> DataFrame:
-    """Give each plate-less track the first confirmed track of its video at the same place.
+def _near(k: Column, width: float, height: float) -> Column:
+    """Whether box ``k`` and the row's box are at one place: enough overlap, or close centres."""
+    a, b = G.box(), (k["x1"], k["y1"], k["x2"], k["y2"])
+    (ax, ay), (bx, by) = G.center(a), G.center(b)
+    return (G.iou(a, b) > 0.20) | ((F.abs(ax - bx) / width < 0.22) & (F.abs(ay - by) / height < 0.35))
+
+
+def _cells(low: tuple[Column, Column], high: tuple[Column, Column], width: float, height: float) -> Column:
+    """The grid cells (0.22 widths by 0.35 heights) between two points."""
+    index = lambda v, size: F.floor(v / size).cast("long")
+    xs = F.sequence(index(low[0], width * 0.22), index(high[0], width * 0.22))
+    ys = F.sequence(index(low[1], height * 0.35), index(high[1], height * 0.35))
+    return F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: F.struct(x.alias("px"), y.alias("py")))))
 
-    ``confirmed`` carries ``position``, its order.  The first ``block`` confirmed
-    tracks of a video travel as one array; only tracks they do not settle meet
-    the others, which are packed by place so that most packs are passed over.
-    Left-over tracks need two frames to stay.
+
+def _first_confirmed(plateless: DataFrame, confirmed: DataFrame, width: float, height: float, block: int) -> DataFrame:
+    """``plateless`` with ``_hit`` (position, owner): the first confirmed track of its video at the same place.
+
+    Two centres in one grid cell are always at one place, so the first track of
+    the own cell is a hit, and of the other cells in reach only packs of tracks
+    with an earlier position are looked at.  A pack spans 16 * ``block`` positions.
     """
-    names = ("x1", "y1", "x2", "y2")
-    ranked = running_sum(confirmed, ["video_id"], ["position"], F.lit(1), F.floor(F.col("position") / 100_000), "_rank")
-    item = F.struct("position", F.col("track_id").alias("owner"), *names)
-    lead = ranked.filter(F.col("_rank") <= block).groupBy("video_id").agg(F.collect_list(item).alias("_pack"))
     cx, cy = G.center(G.box())
-    place = [F.floor(cx / (width * 0.22)).alias("_px"), F.floor(cy / (height * 0.35)).alias("_py"), F.floor(F.col("_rank") / (16 * block)).alias("_part")]
-    packs = ranked.filter(F.col("_rank") > block).groupBy(F.col("video_id").alias("_video"), *place).agg(
-        F.collect_list(item).alias("_pack"), F.min("x1").alias("_x1"), F.min("y1").alias("_y1"), F.max("x2").alias("_x2"), F.max("y2").alias("_y2"),
-        F.min(cx).alias("_cx1"), F.max(cx).alias("_cx2"), F.min(cy).alias("_cy1"), F.max(cy).alias("_cy2"),
-    )
+    place = ["video_id", "px", "py"]
+    cell = [F.floor(cx / (width * 0.22)).cast("long").alias("px"), F.floor(cy / (height * 0.35)).cast("long").alias("py")]
+    columns = plateless.columns
+    item = F.struct("position", F.col("track_id").alias("owner"), "x1", "y1", "x2", "y2")
+    placed = confirmed.select("video_id", "track_id", "position", "x1", "y1", "x2", "y2", *cell)
+    own = placed.groupBy(*place).agg(F.min(F.struct("position", F.col("track_id").alias("owner"))).alias("_own"))
+    bare = plateless.select(*columns, *cell).join(own, place, "left").select(*columns, "_own")
+    # Overlap above 0.2 means: no side more than five times the other's, and centres at most two of the own sides apart.
+    rx, ry = F.greatest(F.lit(width * 0.22), 2 * (F.col("x2") - F.col("x1"))), F.greatest(F.lit(height * 0.35), 2 * (F.col("y2") - F.col("y1")))
+    cells = _cells((cx - rx, cy - ry), (cx + rx, cy + ry), width, height)
+    reach = bare.select("video_id", "track_id", "x1", "y1", "x2", "y2", "_own", F.explode(cells).alias("_c")).select("*", "_c.*").drop("_c")
+    # Of a cell only those count that are earlier than the sure hit of some track in reach.
+    limits = reach.groupBy(*place).agg(F.max(F.coalesce("_own.position", F.lit((1 << 63) - 1))).alias("_limit"))
+    early = placed.join(limits, place).filter(F.col("position") < F.col("_limit"))
+    finer = [F.floor(4 * cx / (width * 0.22)).alias("_fx"), F.floor(4 * cy / (height * 0.35)).alias("_fy")]
+    packs = early.groupBy(*place, *finer, F.floor(F.col("position") / (16 * block)).alias("_part")).agg(
+        F.collect_list(item).alias("_pack"), F.min("position").alias("_first"), F.min("x1").alias("_x1"), F.min("y1").alias("_y1"), F.max("x2").alias("_x2"), F.max("y2").alias("_y2"),
+        F.min(cx).alias("_cx1"), F.max(cx).alias("_cx2"), F.min(cy).alias("_cy1"), F.max(cy).alias("_cy2"))
     touches = (F.col("x1") < F.col("_x2")) & (F.col("x2") > F.col("_x1")) & (F.col("y1") < F.col("_y2")) & (F.col("y2") > F.col("_y1"))
     around = cx.between(F.col("_cx1") - width * 0.22, F.col("_cx2") + width * 0.22) & cy.between(F.col("_cy1") - height * 0.35, F.col("_cy2") + height * 0.35)
+    hit = F.array_min(F.transform(F.filter("_pack", lambda k: _near(k, width, height)), lambda k: F.struct(k["position"].alias("position"), k["owner"].alias("owner"))))
+    found = (
+        reach.join(packs, place).filter((F.col("_own").isNull() | (F.col("_first") < F.col("_own.position"))) & (touches | around))
+        .withColumn("_in", hit).filter("_in is not null").groupBy("video_id", "track_id").agg(F.min("_in").alias("_in"))
+    )
+    return bare.join(found, ["video_id", "track_id"], "left").select(*columns, F.least("_own", "_in").alias("_hit"))
+
 
-    def same_place(k: Column) -> Column:
-        a, b = G.box(), (k["x1"], k["y1"], k["x2"], k["y2"])
-        (ax, ay), (bx, by) = G.center(a), G.center(b)
-        near = (F.abs(ax - bx) / width < 0.22) & (F.abs(ay - by) / height < 0.35)
-        return (G.iou(a, b) > 0.20) | near
+def _first_apart(tracks: DataFrame, width: float, height: float) -> DataFrame:
+    """Of the tracks of a video, taken by track_id, those at no place of one taken before: (video_id, track_id, box).
 
-    hit = F.array_min(F.transform(F.filter("_pack", same_place), lambda k: F.struct(k["position"], k["owner"])))
+    Rounds: a track that is the earliest in every grid cell it reaches is
+    taken, and what is at its place goes.  Two earliest tracks share no cell,
+    so none of them touches another, and a round is two aggregates by (video,
+    cell) and one join with at most one taken track per cell.
+    """
+    cx, cy = G.center(G.box())
+    low = F.least(F.col("x1"), cx - width * 0.11), F.least(F.col("y1"), cy - height * 0.175)
+    high = F.greatest(F.col("x2"), cx + width * 0.11), F.greatest(F.col("y2"), cy + height * 0.175)
+    names = ["video_id", "track_id", "x1", "y1", "x2", "y2"]
+    left, taken = staged(tracks.select(*names, _cells(low, high, width, height).alias("_cells")), "places"), None
+    while not left.isEmpty():
+        by_cell = left.select(*names, F.size("_cells").alias("_n"), F.explode("_cells").alias("_cell"))
+        least = by_cell.groupBy("video_id", "_cell").agg(F.min("track_id").alias("track_id"))
+        # one row per cell: a track that leads all its cells is taken
+        lead = least.groupBy("video_id", "track_id").agg(F.count("*").alias("_lead"))
+        now = staged(left.join(lead, ["video_id", "track_id"]).filter(F.col("_lead") == F.size("_cells")).select(*names, "_cells"), "places-taken")
+        taken = now if taken is None else taken.unionAll(now)
+        owners = now.select("video_id", F.struct("track_id", "x1", "y1", "x2", "y2").alias("_k"), F.explode("_cells").alias("_cell"))
+        gone = by_cell.join(owners, ["video_id", "_cell"]).filter(_near(F.col("_k"), width, height) | (F.col("track_id") == F.col("_k.track_id"))).select("video_id", "track_id").distinct()
+        left = staged(left.join(gone, ["video_id", "track_id"], "left_anti"), "places")
+    return left.select(*names, "_cells") if taken is None else taken
+
+
+def attach_plateless(plateless: DataFrame, confirmed: DataFrame, width: float, height: float, block: int = 64) -> DataFrame:
+    """Add ``merged_into`` and ``is_kept`` to plate-less tracks (video_id, track_id, frames_seen, box).
+
+    In order of track_id, a track goes to the first track at its place: of the
+    confirmed ones by ``position``, then of the plate-less ones kept so far.
+    Without one it is kept if it was seen in two frames, and takes in later
+    ones; seen once, it is dropped.  Every track has video_id, track_id and a box.
+    """
     columns = plateless.columns
-    first = plateless.join(lead, "video_id", "left").withColumn("_hit", hit)
-    later = (
-        first.filter("_hit is null").select(*columns)
-        .join(packs, (F.col("video_id") == F.col("_video")) & (touches | around))
-        .withColumn("_late", hit).filter("_late is not null")
-        .groupBy("track_id").agg(F.min("_late").alias("_late"))
+    first = staged(_first_confirmed(plateless, confirmed, width, height, block), "plateless")
+    open_ = first.filter("_hit is null")
+    kept = _first_apart(open_.filter("frames_seen >= 2"), width, height)
+    cx, cy = G.center(G.box())
+    low = F.least(F.col("x1"), cx - width * 0.11), F.least(F.col("y1"), cy - height * 0.175)
+    high = F.greatest(F.col("x2"), cx + width * 0.11), F.greatest(F.col("y2"), cy + height * 0.175)
+    reach = open_.select("video_id", "track_id", "x1", "y1", "x2", "y2", F.explode(_cells(low, high, width, height)).alias("_cell"))
+    places = kept.select("video_id", F.struct("track_id", "x1", "y1", "x2", "y2").alias("_k"), F.explode("_cells").alias("_cell"))
+    joined = reach.join(places, ["video_id", "_cell"]).filter((F.col("_k.track_id") <= F.col("track_id")) & ((F.col("_k.track_id") == F.col("track_id")) | _near(F.col("_k"), width, height)))
+    owner = joined.groupBy("video_id", "track_id").agg(F.min("_k.track_id").alias("_kept"))
+    return first.join(owner, ["video_id", "track_id"], "left").select(
+        *columns, F.coalesce("_hit.owner", F.when(F.col("_kept") != F.col("track_id"), F.col("_kept"))).alias("merged_into"),
+        (F.col("_hit").isNull() & F.coalesce(F.col("_kept") == F.col("track_id"), F.lit(False))).alias("is_kept"),
     )
-    return (
-        first.select(*columns, "_hit").join(later, "track_id", "left")
-        .withColumn("_hit", F.coalesce("_hit", "_late")).select(*columns, "_hit")
-        .withColumn("merged_into", F.col("_hit.owner"))
-        .withColumn("is_kept", F.col("_hit").isNull() & (F.col("frames_seen") >= 2))
-        .drop("_hit")
+
+
+def consolidate_tracks(plateless: DataFrame, confirmed: DataFrame, width: float, height: float, block: int = 64) -> DataFrame:
+    """The tracks left after ``attach_plateless``, with what they took in.
+
+    Both inputs also have first_seen_frame, last_seen_frame, frames_seen and
+    vehicle_confidence: an owner gets the least, the largest, the sum and the
+    largest of its own and its merged tracks'; ``merged_tracks`` counts them all.
+    """
+    facts = "first_seen_frame", "last_seen_frame", "frames_seen", "vehicle_confidence"
+    attached = staged(attach_plateless(plateless, confirmed, width, height, block), "attached")
+    own = confirmed.select("video_id", "track_id", *facts, F.lit(True).alias("has_plate"))
+    rows = own.unionByName(attached.filter("is_kept").select("video_id", "track_id", *facts, F.lit(False).alias("has_plate")))
+    taken = attached.filter("merged_into is not null").select("video_id", F.col("merged_into").alias("track_id"), *facts, F.lit(None).cast("boolean").alias("has_plate"))
+    return rows.unionByName(taken).groupBy("video_id", "track_id").agg(
+        F.max("has_plate").alias("has_plate"), F.min("first_seen_frame").alias("first_seen_frame"), F.max("last_seen_frame").alias("last_seen_frame"),
+        F.sum("frames_seen").alias("frames_seen"), F.max("vehicle_confidence").alias("vehicle_confidence"), F.count("*").alias("merged_tracks"),
     )
 
 
