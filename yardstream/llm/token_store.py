@@ -26,10 +26,11 @@ import sys
 import types
 import zlib
 from collections.abc import Iterator
-from itertools import chain, islice
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -174,14 +175,34 @@ class Encoder:
             cuts = np.flatnonzero(ids == self.mark_id)
             self._cut(part, ids, np.concatenate([[0], cuts + 1]), np.concatenate([cuts, [len(ids)]]))
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        chunks = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        memo, distinct = self.memo, dict.fromkeys(chain.from_iterable(chunks))
+    def encode(self, texts: pa.Array | list[str | None]) -> list[bytes]:
+        """The ids of each text (null: none).
+
+        Chunks are cut and numbered by Arrow, so the memory is asked once for
+        each distinct chunk of a slice; ids are gathered by index arrays.
+        """
+        lines = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        for blank in "\n\t\r":
+            lines = pc.replace_substring(lines, blank, " ")
+        parts = pc.split_pattern(lines.fill_null(""), " ")
+        chunks = parts.flatten().dictionary_encode()
+        memo, distinct = self.memo, chunks.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(memo) > MEMO:
             for chunk in list(islice(memo, len(memo) // 2)):  # the oldest half goes; what is common is soon back
                 del memo[chunk]
-        self._learn([c for c in distinct if c not in memo])
-        return [b"".join([memo[w] for w in words]) for words in chunks]
+        known = list(map(memo.get, distinct))
+        unknown = [i for i, ids in enumerate(known) if ids is None]
+        self._learn([distinct[i] for i in unknown])
+        for i in unknown:
+            known[i] = memo[distinct[i]]
+        size = np.fromiter(map(len, known), np.int64, len(known)) // int(self.kind[2])
+        first, pool = np.cumsum(size) - size, np.frombuffer(b"".join(known), self.kind)
+        number = chunks.indices.to_numpy()
+        many = size[number]
+        ends = np.cumsum(many)
+        ids = pool[np.repeat(first[number] - (ends - many), many) + np.arange(many.sum())]
+        limits = np.concatenate([[0], ends])[np.cumsum(np.concatenate([[0], pc.list_value_length(parts).to_numpy()]))].tolist()
+        return [ids[low:high].tobytes() for low, high in zip(limits, limits[1:])]
 
 
 def worker_encoder(path: str, width: int) -> Encoder:
@@ -234,7 +255,7 @@ def write_store(documents: DataFrame, path: str, tokenizer: str, shard_bytes: in
         end = np.array([END_ID], f"<u{width}").tobytes()
         keys, ids, size = [], [], 0
         for batch in text_slices(batches, "text"):
-            found = encoder.encode(batch.column("text").to_pylist())
+            found = encoder.encode(batch.column("text"))
             for key, one in zip(batch.column("doc_id").to_pylist(), found):
                 keys.append(key)
                 ids.append(one + end)
