@@ -81,3 +81,30 @@ def arrow_schema(schema: str | StructType) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 
     return to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
+
+
+#: Bits of a membership filter; as rows of 64 it stays below 2**18 rows whatever the input.
+FILTER_BITS = 1 << 24
+
+
+def _word_and_bit(columns: list[str]) -> tuple[Column, Column]:
+    place = F.pmod(F.xxhash64(*columns), F.lit(FILTER_BITS))
+    return F.shiftright(place, 6), place % 64
+
+
+def membership(keys: DataFrame, columns: list[str]) -> DataFrame:
+    """A filter over the keys in ``columns``: rows (word, 64 bits), FILTER_BITS / 64 of them at most."""
+    word, bit = _word_and_bit(columns)
+    return keys.select(word.alias("filter_word"), bit.alias("filter_bit")).groupBy("filter_word").agg(F.bit_or(F.expr("shiftleft(1L, cast(filter_bit as int))")).alias("filter_bits"))
+
+
+def with_membership(df: DataFrame, columns: list[str], words: DataFrame, flag: str) -> DataFrame:
+    """``df`` with ``flag``: false where no key of the filter equals the row's, true for every equal one and a few others.
+
+    A broadcast of bounded size in place of a shuffle: where the filter fills up
+    (very many keys), more rows are flagged, and none is lost.
+    """
+    word, bit = _word_and_bit(columns)
+    hit = F.coalesce(F.expr("getbit(filter_bits, cast(filter_bit as int))") == 1, F.lit(False))
+    rows = df.withColumns({"own_word": word, "filter_bit": bit}).join(F.broadcast(words), F.col("own_word") == F.col("filter_word"), "left")
+    return rows.withColumn(flag, hit).drop("own_word", "filter_bit", "filter_word", "filter_bits")
