@@ -8,6 +8,7 @@ from yardstream.bindings.fusion import _PLAIN, _fused, _fusion_sql
 from yardstream.bindings.views import with_views
 from yardstream.operators import quality as Q
 from yardstream.sources import derived as D
+from yardstream.sources.tables import scratch_dir
 
 
 def _quality(s, d):
@@ -29,21 +30,25 @@ def _stages(s, d):
 
 
 def _log(s, d):
-    """Log lines built from the JSON column of the events, read with the log schema."""
+    """A log of JSON lines written from the JSON column of the events, some of them once more cut short, read back from its files."""
     e = D.table(s, d, "events")
     k = F.get_json_object("props", "$.k").cast("int")
     line = F.to_json(F.struct(
         F.when(k % 6 != 0, F.concat(F.lit("v"), (k % 5).cast("string"))).alias("variant"), (k % 4 != 0).alias("success"), (k / 100).alias("confidence"),
         F.col("value").alias("time_ms"), F.lit("").alias("error")))
-    return Q.ocr_log_summary(e.select(F.from_json(line, Q.OCR_LOG_SCHEMA).alias("r")).select("r.*"))
+    cut = F.when(F.col("event_id") % 17 == 0, line.substr(F.lit(1), F.length(line) - 3))
+    path = scratch_dir(s, "log")
+    e.select(F.explode(F.array_compact(F.array(line, cut))).alias("value")).write.text(path)
+    return Q.read_ocr_log(s, path)
 
 
-QUERIES = {"ocr_log_summary": _log, "recognition_quality": _quality, "latency_profile": _latency, "stage_breakdown": _stages}
+QUERIES = {"ocr_log_summary": lambda s, d: Q.ocr_log_summary(_log(s, d)), "ocr_log_state": lambda s, d: Q.ocr_log_state(_log(s, d)), "recognition_quality": _quality, "latency_profile": _latency, "stage_breakdown": _stages}
 
 ORACLE = {
     "ocr_log_summary": """
 select case when k%6<>0 then concat('v', cast(k%5 as varchar)) else 'main' end as variant, count(*) as reads, round(avg(case when k%4<>0 then 1 else 0 end),4) as success_rate,
  round(avg(value),4) as mean_ms, round(avg(k/100.0::double),4) as mean_confidence from (select *, cast(json_extract(props, '$.k') as int) as k from events) group by 1""",
+    "ocr_log_state": "select count(*) + count(*) filter (event_id % 17 = 0) as lines, count(*) filter (event_id % 17 = 0) as broken_lines from events",
     "recognition_quality": _fusion_sql(*_PLAIN, """, q as (
  select t.truth, t.condition, d.confidence, case when status='finalized' then plate else 'Requires Manual Review' end as p from decided d
  join (select track_id, min(true_plate) as truth, min(condition) as condition from frames group by 1) t on t.track_id = d.track_id)

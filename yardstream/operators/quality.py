@@ -13,12 +13,28 @@ OCR_LOG_SCHEMA = "timestamp string, variant string, success boolean, plate strin
 
 
 def read_ocr_log(spark, path: str) -> DataFrame:
-    """Scan the JSON-lines reading log with its declared schema."""
-    return spark.read.schema(OCR_LOG_SCHEMA).json(path)
+    """Scan the JSON-lines reading log with its declared schema.
+
+    A line that is not whole JSON of that schema comes back in ``broken`` as it
+    stands, with null fields; ``broken`` is null for the others.  Blank lines
+    are no lines.
+    """
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    parsed = F.from_json("value", OCR_LOG_SCHEMA + ", broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"})
+    fields = [f.strip().split(" ")[0] for f in OCR_LOG_SCHEMA.split(",")]
+    rows = lines.select(parsed.alias("r")).select("r.*")
+    return rows.select(*[F.when(F.col("broken").isNull(), F.col(c)).alias(c) for c in fields], "broken")
+
+
+def ocr_log_state(log: DataFrame) -> DataFrame:
+    """One row: lines of the log, and how many of them are broken."""
+    return log.agg(F.count("*").alias("lines"), F.count("broken").alias("broken_lines"))
 
 
 def ocr_log_summary(log: DataFrame) -> DataFrame:
-    return log.groupBy(F.coalesce("variant", F.lit("main")).alias("variant")).agg(
+    """Reads, success rate, mean time and confidence per variant; broken lines are set apart."""
+    whole = log.filter("broken is null") if "broken" in log.columns else log
+    return whole.groupBy(F.coalesce("variant", F.lit("main")).alias("variant")).agg(
         F.count("*").alias("reads"), F.round(F.avg(F.col("success").cast("int")), 4).alias("success_rate"),
         F.round(F.avg("time_ms"), 4).alias("mean_ms"), F.round(F.avg("confidence"), 4).alias("mean_confidence"),
     )
