@@ -79,6 +79,16 @@ def _join_whitelist(spark, sf):
     return R.join_list(_reads_keyed(spark, sf), D.whitelist(spark, sf), "whitelist").select("read_id", "plate", "whitelist_match", "whitelist_reason")
 
 
+def _join_whitelist_valid(spark, sf):
+    """Two passes per listed vehicle with a gap or an overlap between them, matched at the time of the read."""
+    day = lambda n: F.expr(f"timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, cast({n} as int))")
+    listed = D.whitelist(spark, sf)
+    first = listed.withColumns({"valid_from": F.lit(None).cast("timestamp_ntz"), "valid_until": day("vehicle_id % 20")})
+    second = listed.withColumns({"valid_from": day("10 + vehicle_id % 10"), "valid_until": F.lit(None).cast("timestamp_ntz"), "reason": F.lit("Renewed pass")})
+    reads = _reads_keyed(spark, sf).withColumn("read_at", F.col("ts").cast("timestamp_ntz"))
+    return R.join_list(reads, first.unionByName(second), "whitelist", valid_at="read_at").select("read_id", "plate", "whitelist_match", "whitelist_reason")
+
+
 def _join_watchlist(spark, sf):
     return R.join_list(_reads_keyed(spark, sf), D.watchlist(spark, sf), "watchlist").select("read_id", "plate", "watchlist_match", "watchlist_reason")
 
@@ -161,6 +171,7 @@ QUERIES = {
     "resolve_camera": _resolve_camera,
     "join_registry": _join_registry,
     "join_whitelist": _join_whitelist,
+    "join_whitelist_valid": _join_whitelist_valid,
     "join_watchlist": _join_watchlist,
     "unknown_vehicles": _unknown,
     "gate_decisions": _decisions,
@@ -264,6 +275,11 @@ from {_KEYED} r left join veh v on v.plate_number = r.plate""",
     "join_whitelist": f"""
 select read_id, plate, v.vehicle_id is not null as whitelist_match, case when v.vehicle_id is not null then 'Fleet registration' end as whitelist_reason
 from {_KEYED} r left join veh v on v.plate_number = r.plate and v.whitelisted""",
+    "join_whitelist_valid": f"""
+select read_id, plate, reason is not null as whitelist_match, reason as whitelist_reason from (
+ select r.read_id, r.plate, case when v.vehicle_id is null then null when r.ts <= timestamp '2024-01-01' + to_days(cast(v.vehicle_id % 20 as int)) then 'Fleet registration'
+   when r.ts >= timestamp '2024-01-01' + to_days(cast(10 + v.vehicle_id % 10 as int)) then 'Renewed pass' end as reason
+ from {_KEYED} r left join veh v on v.plate_number = r.plate and v.whitelisted)""",
     "join_watchlist": f"""
 select read_id, plate, v.vehicle_id is not null as watchlist_match, case when v.vehicle_id is not null then 'Security watchlist' end as watchlist_reason
 from {_KEYED} r left join veh v on v.plate_number = r.plate and v.watchlisted""",
