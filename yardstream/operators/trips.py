@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from yardstream.functions.plate_rules import plate_key
 from yardstream.functions.windows import DAY_MICROS, micros, neighbour_row, running_sum, time_bucket
 
 ACTIVE = ("arrived", "entry_approved", "inside_plant", "at_destination")
@@ -15,12 +16,17 @@ LIFECYCLE = ("scheduled", "arrived", "entry_approved", "inside_plant", "at_desti
 
 
 def open_trip_per_plate(trips: DataFrame) -> DataFrame:
-    """The open trip with the highest id of every plate."""
+    """The open trip with the highest id of every plate.
+
+    Plates that differ in case, spaces and hyphens only are one;
+    ``plate_number`` is their lookup key.  Trips without a plate have none.
+    """
     detail = F.struct("trip_id", "trip_number", "status", "purpose", "gate_name")
     return (
         trips.filter(~F.col("status").isin(*CLOSED))
-        .groupBy("plate_number")
+        .groupBy(plate_key(F.col("plate_number")).alias("plate_number"))
         .agg(F.max_by(detail, F.col("trip_id")).alias("t"))
+        .filter("plate_number <> ''")
         .select("plate_number", "t.*")
     )
 
