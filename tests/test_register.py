@@ -45,7 +45,7 @@ def test_scenario(spark, masters):
 
 def test_whole_flow_with_trips(spark, masters, tmp_path):
     """Entry, 48 minutes inside, exit - from the message to every table, written and read back."""
-    from yardstream.sources.tables import append_register
+    from yardstream.sources.tables import append_register, read_register
 
     sent = [(1, 0, "G01-ENTRY"), (2, 5, "G01-ENTRY"), (3, 48 * 60, "G03-EXIT"), (4, 3 * 3600, "G01-ENTRY"), (5, 4 * 3600, "G03-EXIT")]
     rows = [(i, T0 + dt.timedelta(seconds=s), json.dumps({"plate_number": "TN37AB1234", "final_confidence": 0.92, "camera_id": c, "gate_id": "Gate 01"})) for i, s, c in sent]
@@ -53,7 +53,7 @@ def test_whole_flow_with_trips(spark, masters, tmp_path):
     trips = spark.createDataFrame([(10, "TN37AB1234", "scheduled", None)], "trip_id long, plate_number string, status string, actual_entry_time timestamp_ntz")
     out = register_batch(msgs, *masters, trips=trips)
     append_register(out, str(tmp_path))
-    got = {name: spark.read.parquet(f"{tmp_path}/{name}").collect() for name, _ in out.items()}
+    got = {name: read_register(spark, str(tmp_path), name).collect() for name, _ in out.items()}
     assert {r.event_id: (r.event_type, r.decision, r.dwell_minutes) for r in got["events"]} == {
         1: ("entry", "allow", None), 3: ("exit", "allow", 48), 4: ("entry", "allow", None), 5: ("exit", "allow", 60)}
     assert sorted((r.trip_ref, r.status, r.dwell_minutes) for r in got["trips"]) == [(-4, "completed", 60), (10, "completed", 48)]

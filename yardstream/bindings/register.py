@@ -131,7 +131,7 @@ def _dedup(spark, sf):
 def _register_roundtrip(spark, sf):
     """Write the register tables of one batch, read them back and profile them: rows, sum of keys, length of texts."""
     from yardstream.plans.register_plan import register_batch
-    from yardstream.sources.tables import append_register, scratch_dir
+    from yardstream.sources.tables import append_register, read_register, scratch_dir
 
     tables = register_batch(
         D.payloads(spark, sf), D.cameras(spark, sf), D.gates(spark, sf), D.vehicles(spark, sf),
@@ -141,7 +141,7 @@ def _register_roundtrip(spark, sf):
     append_register(tables, root)
     out = None
     for name, key, text in _PROFILED:
-        one = spark.read.parquet(f"{root}/{name}").agg(
+        one = read_register(spark, root, name).agg(
             F.count("*").alias("row_count"), F.sum(key).cast("long").alias("key_sum"), F.sum(F.length(text)).cast("long").alias("text_length"))
         one = one.select(F.lit(name).alias("table_name"), "*")
         out = one if out is None else out.unionByName(one)

@@ -104,17 +104,21 @@ def progress_trips(events: DataFrame, trips: DataFrame, impute_dwell: bool = Tru
     scheduled, entered, left = F.col("trip_id").isNotNull(), F.col("last_entry").isNotNull(), F.col("leave").isNotNull()
     entry = F.coalesce("last_entry", "given_entry")
     missing = F.lit(25) if impute_dwell else F.lit(None).cast("int")
-    return seg.filter(entered | (scheduled & left)).select(
-        F.coalesce("trip_id", -F.col("first_entry.event_id")).alias("trip_ref"),
-        "plate_number",
-        (~scheduled).alias("is_auto"),
-        F.when(scheduled, F.col("from_status")).otherwise(F.lit("scheduled")).alias("from_status"),
-        F.when(left, F.lit("completed")).otherwise(F.lit("inside_plant")).alias("status"),
-        entry.alias("entry_time"),
-        F.col("leave.ts").alias("exit_time"),
-        F.when(left, F.when(entry.isNotNull(), dwell_minutes(entry, F.col("leave.ts"))).otherwise(missing)).alias("dwell_minutes"),
-        F.when(~scheduled, F.col("first_entry.ts")).alias("auto_created_at"),
-        F.when(~scheduled, F.col("first_entry.ts") + F.expr("interval 2 hours")).alias("auto_expected_departure"),
+    dwell = F.when(left, F.when(entry.isNotNull(), dwell_minutes(entry, F.col("leave.ts"))).otherwise(missing))
+    return progress_columns(
+        seg.filter(entered | (scheduled & left)), F.coalesce("trip_id", -F.col("first_entry.event_id")), ~scheduled,
+        F.when(scheduled, F.col("from_status")).otherwise(F.lit("scheduled")), F.when(left, F.lit("completed")).otherwise(F.lit("inside_plant")),
+        entry, F.col("leave.ts"), dwell, F.when(~scheduled, F.col("first_entry.ts")),
+    )
+
+
+def progress_columns(
+    df: DataFrame, ref: Column, auto: Column, before: Column, after: Column, entry: Column, left: Column, dwell: Column, created: Column
+) -> DataFrame:
+    """The columns of a moved trip; an automatic one is expected to leave two hours after it was made."""
+    return df.select(
+        ref.alias("trip_ref"), "plate_number", auto.alias("is_auto"), before.alias("from_status"), after.alias("status"), entry.alias("entry_time"),
+        left.alias("exit_time"), dwell.alias("dwell_minutes"), created.alias("auto_created_at"), (created + F.expr("interval 2 hours")).alias("auto_expected_departure"),
     )
 
 

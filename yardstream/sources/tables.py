@@ -39,17 +39,43 @@ def staged(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def append_register(tables, root: str, batch_id: int | None = None) -> None:
-    """Append the rows of one batch to the register tables under ``root``.
+#: A published batch and the write attempt that counts for it.
+_COMMIT = "batch string, attempt string"
 
-    With a ``batch_id`` (streaming) each table gets a partition of that id and
-    the write replaces it, so a repeated batch leaves the same rows.
+
+def _commits(spark: SparkSession, root: str) -> DataFrame:
+    """The published batches under ``root``, one row each; the log is made where it is missing."""
+    spark.createDataFrame([], _COMMIT).write.mode("ignore").parquet(f"{root}/commits")
+    return spark.read.schema(_COMMIT).parquet(f"{root}/commits").groupBy("batch").agg(F.min("attempt").alias("attempt"))
+
+
+def append_register(tables, root: str, batch_id: int | None = None) -> bool:
+    """Append the rows of one batch to the register tables under ``root``: all of them, or none.
+
+    Every table's rows go to a folder of this attempt.  Only when all are
+    written, one record in the log ``commits`` publishes them together, and
+    ``read_register`` shows published rows only.  An attempt that ends early
+    leaves nothing that readers see; a repeated ``batch_id`` (streaming) is
+    not written again, and of two attempts at once one counts.  Without a
+    ``batch_id`` every call is a batch of its own.  Returns whether rows were added.
     """
-    for name, df in tables.items():
-        if batch_id is None:
-            df.write.mode("append").parquet(f"{root}/{name}")
-        else:
-            df.write.mode("overwrite").parquet(f"{root}/{name}/batch_id={batch_id}")
+    items = list(tables.items())
+    spark = items[0][1].sparkSession
+    batch = uuid.uuid4().hex if batch_id is None else str(batch_id)
+    if not _commits(spark, root).filter(F.col("batch") == batch).isEmpty():
+        return False
+    attempt = f"try-{batch}-{uuid.uuid4().hex}"
+    for name, df in items:
+        df.write.parquet(f"{root}/{name}/attempt={attempt}")
+    spark.createDataFrame([(batch, attempt)], _COMMIT).coalesce(1).write.mode("append").parquet(f"{root}/commits")
+    return True
+
+
+def read_register(spark: SparkSession, root: str, name: str, batches: bool = False) -> DataFrame:
+    """The published rows of one register table; ``batches`` adds ``batch``, the batch they came with."""
+    published = _commits(spark, root)
+    rows = spark.read.parquet(f"{root}/{name}").join(published, "attempt").drop("attempt")
+    return rows if batches else rows.drop("batch")
 
 
 def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
