@@ -139,9 +139,14 @@ def _register_roundtrip(spark, sf):
     )
     root = scratch_dir(spark, "register")
     append_register(tables, root)
+    return profile_rows({name: read_register(spark, root, name) for name, _, _ in _PROFILED})
+
+
+def profile_rows(tables):
+    """Rows, sum of keys and length of texts of each register table."""
     out = None
     for name, key, text in _PROFILED:
-        one = read_register(spark, root, name).agg(
+        one = tables[name].agg(
             F.count("*").alias("row_count"), F.sum(key).cast("long").alias("key_sum"), F.sum(F.length(text)).cast("long").alias("text_length"))
         one = one.select(F.lit(name).alias("table_name"), "*")
         out = one if out is None else out.unionByName(one)

@@ -50,6 +50,7 @@ QUERIES = {
     "open_trip_per_plate": _open_trip,
     "trip_progression": lambda s, d: T.progress_trips(events(s, d), D.trips(s, d)),
     "trip_simple": lambda s, d: T.progress_trips(events(s, d), D.trips(s, d)).groupBy("status", "is_auto").agg(F.count("*").alias("n"), F.sum("dwell_minutes").alias("dwell")),
+    "trip_history_rows": lambda s, d: T.trip_history(events(s, d), D.trips(s, d)),
     "dwell_pairs": lambda s, d: T.exit_dwells(events(s, d), D.trips(s, d)),
     "trip_status_apply": _status_apply,
     "status_durations": lambda s, d: T.status_durations(D.trip_history(s, d)),
@@ -102,6 +103,11 @@ left join (select * from (select *, row_number() over (partition by plate_number
 select trip_ref, plate_number, is_auto, from_status, status, entry_time, exit_time, dwell_minutes,
   case when is_auto then first_ts end as auto_created_at, case when is_auto then first_ts + interval '2' hour end as auto_expected_departure from moved""",
     "trip_simple": _WALK + "select status, is_auto, count(*) as n, cast(sum(dwell_minutes) as bigint) as dwell from moved group by 1, 2",
+    "trip_history_rows": _WALK + """,
+seen as (select *, coalesce(bool_or(kind = 'entry') over (partition by plate_number, trip_ref order by rn rows between unbounded preceding and 1 preceding), false) as entered
+  from steps where trip_ref is not null)
+select trip_ref, plate_number, case when entered then 'inside_plant' else from_status end as from_status,
+  case when kind = 'exit' then 'completed' else 'inside_plant' end as to_status, event_id as trigger_event_id, ts from seen where kind = 'exit' or not entered""",
     "dwell_pairs": _WALK + "select event_id, plate_number, trip_ref, entry_time, ts as exit_time, dwell as dwell_minutes from steps where kind = 'exit'",
     "trip_status_apply": """
 with ch as (select trip_id, 'inside_plant' as s, expected_arrival + (trip_id%50) * interval '1' minute as tm from trips where trip_id%2=0
