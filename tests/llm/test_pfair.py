@@ -87,3 +87,16 @@ def test_edges(docs_of):
     assert [r.mix_slot for r in got if r.source == "zz"] == [None]
     assert P.schedule(docs_of([]), {"a": 1.0}).count() == 0
     assert P.tempered_weights(docs_of(rows), 0.0) == {"a": 1.0, "": 1.0, "zz": 1.0}
+
+
+def test_columns_of_any_name_keep_their_values(docs_of):
+    from pyspark.sql import functions as F
+
+    rows = [(i, f"t{i}", "en", "ab"[i % 2]) for i in range(40)]
+    clash = ["_source", "_slice", "_nth", "_per", "_order", "_n", "_in", "_turn", "_most", "_before", "_slot", "__source", "mix_rank", "mix_slot", "a.b"]
+    df = docs_of(rows).withColumns({c: F.concat(F.lit(c), F.col("doc_id")) for c in clash})
+    out = P.mix(df, {"a": 1.0, "b": 1.0}, block=2, period=8)
+    assert out.columns == df.columns and sorted(map(tuple, out.collect())) == sorted(map(tuple, df.collect()))
+    got = P.schedule(df, {"a": 1.0, "b": 1.0}, block=2, period=8)
+    assert len(set(got.columns)) == len(got.columns) and got.schema["mix_rank"].dataType.simpleString() == "bigint"
+    assert all(r["_source"] == f"_source{r.doc_id}" and r["__source"] == f"__source{r.doc_id}" for r in got.collect())

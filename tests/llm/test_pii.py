@@ -126,3 +126,16 @@ def test_edges(docs_of):
     assert {r.text for r in clean.collect()} == {None, "", "[email]", "call [phone]", "\U0001f600 [email]"}
     assert P.find_personal_data(docs_of([])).count() == 0
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def test_columns_of_any_name_keep_their_values(docs_of):
+    from pyspark.sql import functions as F
+
+    df = docs_of([(1, "write to a@b.org", "en", "s"), (None, None, "en", "s"), (1, "other", "en", "s")])
+    clash = ["_doc", "_hash", "_spans", "text_hash", "spans", "marks", "a.b"]
+    df = df.withColumns({c: F.lit(c) for c in clash})
+    out = P.sanitise(df)
+    assert out.columns == df.columns
+    rows = out.collect()
+    assert all(r[c] == c for r in rows for c in clash)
+    assert sorted(str(r.text) for r in rows) == ["None", "other", "write to [email]"]

@@ -71,6 +71,11 @@ def map_batches(df: DataFrame, run: Callable, schema: str | StructType) -> DataF
     return df.mapInArrow(run, schema)
 
 
+def own_prefix(columns: list[str]) -> str:
+    """Underscores that no name in ``columns`` begins with: names made of it clash with none of them."""
+    return "_" * (1 + max((len(c) - len(c.lstrip("_")) for c in columns), default=0))
+
+
 def crc_mod(key: str, n: int) -> Column:
     """crc32 of a key written as text, modulo ``n`` (null keys: null)."""
     return F.crc32(F.col(key).cast("string")) % n

@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from yardstream.llm.common import staged
+from yardstream.llm.common import own_prefix, staged
 
 #: Documents in a block: the unit that is scheduled.
 BLOCK = 8
@@ -16,6 +16,8 @@ BLOCK = 8
 PERIOD = 4096
 #: Rows that a numbering task should meet.
 SLICE_ROWS = 2_000
+#: Columns that ``schedule`` adds.
+PLACES = ("mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_rank")
 
 
 def quantised(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
@@ -90,32 +92,41 @@ def schedule(documents: DataFrame, weights: dict[str, float], block: int = BLOCK
 
     A null source counts as ''.  A source without weight gets no slot (null in
     all columns but mix_rank and mix_block).  Repeated rows are documents of
-    their own; an empty table stays empty.
+    their own; an empty table stays empty.  Columns of ``documents`` named like
+    one of the five are replaced, others stay whatever their names.
     """
-    spark = documents.sparkSession
-    names = documents.columns
-    pattern = [(k, n, r, d, s) for k, n, r, d, s in period_schedule(quantised(weights, period))]
+    names = [c for c in documents.columns if c.lower() not in PLACES]
+    rows = documents.select(*[F.col(f"`{c}`") for c in names])
+    placed, p = _placed(rows, weights, block, period)
+    return placed.select(*[F.col(f"`{c}`") for c in names], *[F.col(f"{p}{c}").alias(c) for c in PLACES])
+
+
+def _placed(documents: DataFrame, weights: dict[str, float], block: int, period: int) -> tuple[DataFrame, str]:
+    """``documents`` with the places of ``schedule`` and the source key, and the prefix that keeps these names apart from those of ``documents``."""
+    spark, p = documents.sparkSession, own_prefix(documents.columns)
+    source, nth, slice_, order = f"{p}source", f"{p}nth", f"{p}slice", f"{p}order"
+    pattern = period_schedule(quantised(weights, period))
     period = len(pattern)
     sizes: dict[str, int] = {}
     for row in pattern:
         sizes[row[0]] = sizes.get(row[0], 0) + 1
-    table = spark.createDataFrame([(k, sizes[k], n, r, d, s) for k, n, r, d, s in pattern], "_source string, _per long, _nth long, _release long, _deadline long, _slot long")
-    per = table.select(F.col("_source").alias("_of"), "_per").distinct()
-    keyed = documents.withColumns({"_source": source_key(), "_order": F.xxhash64("doc_id", "text")})
+    table = spark.createDataFrame(pattern, f"{source} string, {nth} long, {p}release long, {p}deadline long, {p}slot long")
+    per = spark.createDataFrame(list(sizes.items()), f"{source} string, {p}per long")
+    keyed = documents.withColumns({source: source_key(), order: F.xxhash64("doc_id", "text")})
     n_slices = max(1, documents.count() // SLICE_ROWS + 1)
-    slice_ = F.floor((F.shiftright(F.col("_order"), 1).cast("double") / 2.0**63 + 0.5) * n_slices)
-    keyed = keyed.withColumn("_slice", F.least(slice_, F.lit(n_slices - 1)))
-    counts = keyed.groupBy("_source", "_slice").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("_source").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = staged(counts.select("_source", "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")), "mix-offsets")
-    inner = Window.partitionBy("_source", "_slice").orderBy("_order")
-    ranked = keyed.withColumn("_in", F.row_number().over(inner) - 1).join(offsets, ["_source", "_slice"])
-    ranked = ranked.withColumn("mix_rank", (F.col("_before") + F.col("_in")).cast("long")).withColumn("mix_block", F.floor(F.col("mix_rank") / block))
-    ranked = ranked.join(F.broadcast(per), F.col("_source") == F.col("_of"), "left").drop("_of")
-    ranked = ranked.withColumns({"_turn": F.floor(F.col("mix_block") / F.col("_per")), "_nth": F.col("mix_block") % F.col("_per")})
-    placed = ranked.join(F.broadcast(table.drop("_per")), ["_source", "_nth"], "left")
-    at = lambda c: (F.col("_turn") * period + F.col(c)).cast("long")
-    return placed.select(*names, "mix_block", at("_release").alias("mix_release"), at("_deadline").alias("mix_deadline"), at("_slot").alias("mix_slot"), "mix_rank")
+    cut = F.floor((F.shiftright(F.col(order), 1).cast("double") / 2.0**63 + 0.5) * n_slices)
+    keyed = keyed.withColumn(slice_, F.least(cut, F.lit(n_slices - 1)))
+    counts = keyed.groupBy(source, slice_).agg(F.count("*").alias(f"{p}n"))
+    before = Window.partitionBy(source).orderBy(slice_).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = staged(counts.select(source, slice_, F.coalesce(F.sum(f"{p}n").over(before), F.lit(0)).alias(f"{p}before")), "mix-offsets")
+    inner = Window.partitionBy(source, slice_).orderBy(order)
+    ranked = keyed.withColumn(f"{p}in", F.row_number().over(inner) - 1).join(offsets, [source, slice_])
+    ranked = ranked.withColumn(f"{p}mix_rank", (F.col(f"{p}before") + F.col(f"{p}in")).cast("long")).withColumn(f"{p}mix_block", F.floor(F.col(f"{p}mix_rank") / block))
+    ranked = ranked.join(F.broadcast(per), source, "left")
+    ranked = ranked.withColumns({f"{p}turn": F.floor(F.col(f"{p}mix_block") / F.col(f"{p}per")), nth: F.col(f"{p}mix_block") % F.col(f"{p}per")})
+    placed = ranked.join(F.broadcast(table), [source, nth], "left")
+    at = lambda c: (F.col(f"{p}turn") * period + F.col(f"{p}{c}")).cast("long")
+    return placed.withColumns({f"{p}mix_release": at("release"), f"{p}mix_deadline": at("deadline"), f"{p}mix_slot": at("slot")}), p
 
 
 def tempered_weights(documents: DataFrame, power: float) -> dict[str, float]:
@@ -134,10 +145,11 @@ def mix(documents: DataFrame, weights: dict[str, float], block: int = BLOCK, per
     The mix is as long as the input.  A source larger than its share of it ends
     there (less than one block beyond); a smaller one is used wholly and its
     empty slots are closed up.  A source without weight goes.  Rows are dealt out by ranges of the slot, so reading
-    the written files in order gives the mix.  Columns are those of the input.
+    the written files in order gives the mix.  Columns are those of the input, whatever their names.
     """
-    names = documents.columns
     blocks, n = quantised(weights, period), documents.count()
-    most = documents.sparkSession.createDataFrame([(k, c * n / sum(blocks.values()) + block) for k, c in blocks.items()], "_source string, _most double")
-    placed = schedule(documents, weights, block, period).withColumn("_source", source_key()).join(F.broadcast(most), "_source").filter("mix_rank < _most")
-    return placed.repartitionByRange("mix_slot", "mix_rank").sortWithinPartitions("mix_slot", "mix_rank").select(*names)
+    placed, p = _placed(documents, weights, block, period)
+    most = documents.sparkSession.createDataFrame([(k, c * n / sum(blocks.values()) + block) for k, c in blocks.items()], f"{p}source string, {p}most double")
+    kept = placed.join(F.broadcast(most), f"{p}source").filter(f"{p}mix_rank < {p}most").select(*[F.col(f"`{c}`") for c in documents.columns], f"{p}mix_slot", f"{p}mix_rank")
+    turn = f"{p}mix_slot", f"{p}mix_rank"
+    return kept.repartitionByRange(*turn).sortWithinPartitions(*turn).drop(*turn)

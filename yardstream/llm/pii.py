@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from yardstream.llm.common import arrow_schema, map_batches, staged, text_slices
+from yardstream.llm.common import arrow_schema, map_batches, own_prefix, staged, text_slices
 
 KINDS = ["email", "ip", "card", "phone", "term"]
 #: Words on either side of an entity that count as its context.
@@ -286,19 +286,21 @@ def sanitise(documents: DataFrame) -> DataFrame:
     """``documents`` with the texts sanitised (see ``find_personal_data`` and ``replaced``); other columns stay.
 
     Null texts stay null.  Rows are matched by doc_id and text, so repeated rows
-    get the same text.
+    get the same text.  Other columns may have any name.
     """
-    names = documents.columns
-    spans = find_personal_data(documents).groupBy("doc_id", "text_hash").agg(F.first("spans").alias("_spans"))
-    spans = spans.select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), "_spans")
-    rows = documents.join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_hash")), "left")
+    names, p = documents.columns, own_prefix(documents.columns)
+    doc, key, marks = f"{p}doc", f"{p}hash", f"{p}spans"
+    spans = find_personal_data(documents).groupBy("doc_id", "text_hash").agg(F.first("spans").alias(marks))
+    spans = spans.select(F.col("doc_id").alias(doc), F.col("text_hash").alias(key), marks)
+    rows = documents.join(spans, documents["doc_id"].cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64(documents["text"]) == F.col(key)), "left")
     at, kinds = names.index("text"), documents.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, "text"):
-            texts = [t if t is None or not s else replaced(t, s) for t, s in zip(batch.column("text").to_pylist(), batch.column("_spans").to_pylist())]
+        for batch in text_slices(batches, f"{p}{at}"):
+            texts = [t if t is None or not s else replaced(t, s) for t, s in zip(batch.column(at).to_pylist(), batch.column(marks).to_pylist())]
             columns = [batch.column(i) for i in range(len(names))]
             columns[at] = pa.array(texts, batch.column(at).type)
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return map_batches(rows.select(*names, "_spans"), run, kinds)
+    # Names with dots do not pass the map, so its input is numbered.
+    return map_batches(rows.select(*[F.col(f"`{c}`").alias(f"{p}{i}") for i, c in enumerate(names)], marks), run, kinds)
