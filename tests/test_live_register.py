@@ -96,3 +96,17 @@ def test_batch_that_ends_between_two_tables_is_not_seen(spark, tmp_path):
     spark.createDataFrame([("2", "try-2-zzzz")], "batch string, attempt string").write.mode("append").parquet(f"{root}/commits")
     one.write.parquet(f"{root}/a/attempt=try-2-zzzz")
     assert read_register(spark, root, "a").count() == 9
+
+
+def test_late_rows_are_counted(spark, tmp_path):
+    from yardstream.streaming.passages import dedup_stream
+    from yardstream.streaming.running import run_counted
+
+    path, hours = str(tmp_path / "in"), lambda h: T0 + dt.timedelta(hours=h)
+    for rows in ([(1, hours(0), "A"), (2, hours(5), "B")], [(3, hours(6), "A")], [(4, hours(1), "A"), (5, hours(7), "A"), (6, hours(2), "C")]):
+        spark.createDataFrame([(*r, "entry", "allow") for r in rows], EVENTS).coalesce(1).write.mode("append").parquet(path)
+    stream = read_stream(spark, path, spark.createDataFrame([], EVENTS).schema, max_files=1)
+    out, late = run_counted(dedup_stream(stream, 15), "late")
+    assert (sorted(r.event_id for r in out.collect()), late) == ([1, 2, 3, 5], 2)
+    again, none = run_counted(dedup_stream(read_stream(spark, path, stream.schema), 15), "on-time")
+    assert (again.count(), none) == (6, 0)

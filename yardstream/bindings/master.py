@@ -41,6 +41,18 @@ def _register(s, d):
     return r.vehicles.join(lists, "vehicle_id")
 
 
+def _numbered(s, d):
+    hauliers = D.vehicles(s, d).groupBy(F.col("transporter").alias("name")).agg(F.min("vehicle_id").alias("transporter_id"))
+    return M.number_registration(_registration(s, d), D.vehicles(s, d), hauliers)
+
+
+def _vehicle_ids(s, d):
+    n = _numbered(s, d)
+    lists = n.whitelist.select("vehicle_id", F.lit("whitelist").alias("list_name")).unionByName(n.watchlist.select("vehicle_id", F.lit("watchlist").alias("list_name")))
+    audit = n.audit.select(F.col("entity_id").cast("long").alias("vehicle_id"), "details")
+    return n.vehicles.join(lists, "vehicle_id").join(audit, "vehicle_id").select("vehicle_id", "plate_number", "transporter", "transporter_id", "list_name", "details")
+
+
 def _patch(s, d):
     patch = D.vehicles(s, d).filter("vehicle_id % 3 = 0").select(
         "vehicle_id", F.when(F.col("vehicle_id") % 2 == 0, F.lit("Van")).alias("vehicle_type"), F.lit(None).cast("string").alias("owner_name"),
@@ -117,6 +129,8 @@ def _apply(s, d):
 QUERIES = {
     "seed_idempotent": _seed,
     "vehicle_register_batch": _register,
+    "vehicle_register_ids": _vehicle_ids,
+    "transporter_ids": lambda s, d: _numbered(s, d).transporters,
     "vehicle_register_rejected": lambda s, d: _registration(s, d).rejected,
     "transporters_after_register": lambda s, d: _registration(s, d).transporters,
     "vehicle_patch_merge": _patch,
@@ -134,7 +148,18 @@ _REQ = """(select read_id as request_id, replace(replace(upper(text),' ',''),'-'
 _FRESH = f"""r as (select *, row_number() over (partition by p order by request_id) as rn from {_REQ}),
 f as (select * from r where rn = 1 and not exists (select 1 from veh where plate_number = r.p))"""
 
+_IDS = f"""{_FRESH},
+v as (select *, (select max(vehicle_id) from veh) + row_number() over (order by request_id) as id from f),
+old as (select transporter as name, min(vehicle_id) as transporter_id from veh group by 1),
+made as (select transporter as name, min(id) as first_id from v where transporter not in (select name from old) group by 1),
+tr as (select transporter_id, name from old union all select (select max(transporter_id) from old) + row_number() over (order by first_id), name from made)"""
+
 ORACLE = {
+    "vehicle_register_ids": f"""
+with {_IDS}
+select id as vehicle_id, p as plate_number, transporter, transporter_id, case when auth then 'whitelist' else 'watchlist' end as list_name,
+ concat('Created vehicle ', p, ' (type=', vehicle_type, ', transporter=', transporter, ')') as details from v left join tr on tr.name = v.transporter""",
+    "transporter_ids": f"with {_IDS} select * from tr",
     "seed_idempotent": "select license_number, case when driver_id%2=0 then name else upper(name) end as name from drivers",
     "vehicle_register_batch": f"""
 with {_FRESH}

@@ -50,6 +50,7 @@ QUERIES = {
     "open_trip_per_plate": _open_trip,
     "trip_progression": lambda s, d: T.progress_trips(events(s, d), D.trips(s, d)),
     "trip_simple": lambda s, d: T.progress_trips(events(s, d), D.trips(s, d)).groupBy("status", "is_auto").agg(F.count("*").alias("n"), F.sum("dwell_minutes").alias("dwell")),
+    "auto_trip_ids": lambda s, d: T.number_new_trips(T.progress_trips(events(s, d), D.trips(s, d)), D.trips(s, d)).select("trip_id", "event_id", "plate_number", "status"),
     "trip_history_rows": lambda s, d: T.trip_history(events(s, d), D.trips(s, d)),
     "dwell_pairs": lambda s, d: T.exit_dwells(events(s, d), D.trips(s, d)),
     "trip_status_apply": _status_apply,
@@ -103,6 +104,8 @@ left join (select * from (select *, row_number() over (partition by plate_number
 select trip_ref, plate_number, is_auto, from_status, status, entry_time, exit_time, dwell_minutes,
   case when is_auto then first_ts end as auto_created_at, case when is_auto then first_ts + interval '2' hour end as auto_expected_departure from moved""",
     "trip_simple": _WALK + "select status, is_auto, count(*) as n, cast(sum(dwell_minutes) as bigint) as dwell from moved group by 1, 2",
+    "auto_trip_ids": _WALK + """
+select (select max(trip_id) from trips) + row_number() over (order by first_ts, -trip_ref) as trip_id, -trip_ref as event_id, plate_number, status from moved where is_auto""",
     "trip_history_rows": _WALK + """,
 seen as (select *, coalesce(bool_or(kind = 'entry') over (partition by plate_number, trip_ref order by rn rows between unbounded preceding and 1 preceding), false) as entered
   from steps where trip_ref is not null)

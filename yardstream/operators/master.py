@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Sequence
+from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from yardstream.functions.plate_rules import plate_key, state_code
+from yardstream.sources.tables import staged
 
 
 def insert_missing(existing: DataFrame, new: DataFrame, key: str, order: str | None = None) -> DataFrame:
@@ -74,6 +76,50 @@ def register_vehicles(requests: DataFrame, plates: DataFrame, transporters: Data
     return Registration(vehicles, transporters.select("name").unionByName(missing), white, watch, rejected, audit)
 
 
+def with_new_ids(rows: DataFrame, existing: DataFrame, id_name: str, order: Sequence[str]) -> DataFrame:
+    """``rows`` with ``id_name``: the numbers after the largest in ``existing``, without gaps, in ``order``.
+
+    ``order`` must tell the rows apart.  Nulls in it come first; without
+    existing ids the numbers start at 1.  The rows are cut into ranges of
+    ``order`` and numbered within each; only the sizes of the ranges, one
+    number a partition, are added up in one place.  The ranges are written
+    down first, so a task that runs again finds the same ones.
+    """
+    part, before = f"_{id_name}_range", f"_{id_name}_before"
+    ranged = staged(rows.repartitionByRange(*order).withColumn(part, F.spark_partition_id()), "new-rows")
+    sizes = ranged.groupBy(part).agg(F.count("*").alias("_n"))
+    until = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(part, F.coalesce(F.sum("_n").over(until), F.lit(0)).alias(before))
+    largest = existing.agg(F.max(id_name)).first()[0] or 0
+    inside = F.row_number().over(Window.partitionBy(part).orderBy(*order))
+    return ranged.withColumn(id_name, inside).join(starts, part).withColumn(id_name, (F.col(id_name) + F.col(before) + largest).cast("long")).drop(part, before)
+
+
+def number_registration(done: Registration, vehicles: DataFrame, transporters: DataFrame) -> Registration:
+    """``done`` with ids of its own: vehicles in the order of their requests, new transporters in that of the first vehicle naming them.
+
+    ``vehicles`` (vehicle_id) and ``transporters`` (transporter_id, name) are
+    the rows there before.  Vehicles get ``transporter_id`` (null where they
+    name none), lists and audit the new ``vehicle_id``; ``transporters`` become
+    (transporter_id, name).
+    """
+    fresh = done.vehicles.withColumnRenamed("vehicle_id", "request_id")
+    named = staged(with_new_ids(fresh, vehicles, "vehicle_id", ["request_id"]), "new-vehicles")
+    ids = named.select("request_id", F.col("vehicle_id").alias("_id"))
+    first = named.filter("transporter <> 'Unregistered'").groupBy(F.col("transporter").alias("name")).agg(F.min("vehicle_id").alias("_first"))
+    new = with_new_ids(first.join(transporters.select("name"), "name", "left_anti"), transporters, "transporter_id", ["_first"])
+    hauliers = staged(transporters.select("transporter_id", "name").unionByName(new.select("transporter_id", "name")), "transporters")
+
+    def renumbered(df: DataFrame, column: str) -> DataFrame:
+        kind, names = df.schema[column].dataType, df.columns
+        return df.join(ids, F.col(column).cast("long") == F.col("request_id")).withColumn(column, F.col("_id").cast(kind)).select(*names)
+
+    return replace(
+        done, vehicles=named.drop("request_id").join(hauliers.withColumnRenamed("name", "transporter"), "transporter", "left"), transporters=hauliers,
+        whitelist=renumbered(done.whitelist, "vehicle_id"), watchlist=renumbered(done.watchlist, "vehicle_id"), audit=renumbered(done.audit, "entity_id"),
+    )
+
+
 def merge_patches(base: DataFrame, patches: DataFrame, key: str) -> DataFrame:
     """Overwrite with the non-null fields of at most one patch per key."""
     fields = [c for c in patches.columns if c != key]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from yardstream.functions.plate_rules import plate_key
 from yardstream.functions.windows import DAY_MICROS, micros, neighbour_row, running_sum, time_bucket
+from yardstream.operators.master import with_new_ids
 
 ACTIVE = ("arrived", "entry_approved", "inside_plant", "at_destination")
 CLOSED = ("completed", "cancelled")
@@ -122,6 +123,12 @@ def progress_columns(
     )
 
 
+def number_new_trips(moved: DataFrame, trips: DataFrame) -> DataFrame:
+    """The automatic trips among ``moved`` (``progress_trips``) with a ``trip_id`` after the largest of ``trips``, in order of their making."""
+    made = moved.filter("is_auto").withColumn("event_id", -F.col("trip_ref"))
+    return with_new_ids(made, trips, "trip_id", ["auto_created_at", "event_id"])
+
+
 def trip_history(events: DataFrame, trips: DataFrame) -> DataFrame:
     """The status changes that ``progress_trips`` makes: one row for the entry and one for the exit of a trip.
 
