@@ -61,6 +61,22 @@ def _patch(s, d):
     return M.merge_patches(D.vehicles(s, d).select("vehicle_id", "vehicle_type", "owner_name", "is_authorized"), patch, "vehicle_id")
 
 
+def _patches_in_turn(s, d):
+    """Every read of a vehicle's owner patches its type, owner or both; later reads overwrite earlier ones."""
+    patch = _requests(s, d).join(D.texts(s, d).select(F.col("read_id").alias("request_id"), F.col("user_id").alias("vehicle_id")), "request_id").select(
+        "vehicle_id", "request_id", F.when(F.col("request_id") % 3 == 0, F.col("vehicle_type")).alias("vehicle_type"),
+        F.when(F.col("request_id") % 2 == 0, F.concat("owner_name", F.lit("/"), F.col("request_id").cast("string"))).alias("owner_name"))
+    return M.merge_patches(D.vehicles(s, d).select("vehicle_id", "vehicle_type", "owner_name"), patch, "vehicle_id", "request_id")
+
+
+def _audit_changes(s, d):
+    v = D.vehicles(s, d)
+    gone = D.texts(s, d).filter("read_id % 10 = 0").select(F.col("user_id").alias("vehicle_id"))
+    patched = D.texts(s, d).filter("read_id % 7 = 0").select(F.col("user_id").alias("vehicle_id"))
+    rows = M.audit_vehicle_updates(v, patched, F.expr(AS_OF)).unionByName(M.audit_vehicle_deletes(v, gone, F.expr(AS_OF)))
+    return rows.select("action", "entity_type", "entity_id", "details")
+
+
 def _cascade(s, d):
     gone = D.vehicles(s, d).filter("vehicle_id % 10 = 0").select("vehicle_id")
     keep, owned, linked = M.delete_cascade(
@@ -129,6 +145,8 @@ def _apply(s, d):
 QUERIES = {
     "seed_idempotent": _seed,
     "vehicle_register_batch": _register,
+    "vehicle_patches_in_turn": _patches_in_turn,
+    "audit_vehicle_changes": _audit_changes,
     "vehicle_register_ids": _vehicle_ids,
     "transporter_ids": lambda s, d: _numbered(s, d).transporters,
     "vehicle_register_rejected": lambda s, d: _registration(s, d).rejected,
@@ -159,6 +177,15 @@ ORACLE = {
 with {_IDS}
 select id as vehicle_id, p as plate_number, transporter, transporter_id, case when auth then 'whitelist' else 'watchlist' end as list_name,
  concat('Created vehicle ', p, ' (type=', vehicle_type, ', transporter=', transporter, ')') as details from v left join tr on tr.name = v.transporter""",
+    "vehicle_patches_in_turn": f"""
+with p as (select q.*, t.user_id as vid from {_REQ} q join texts t on t.read_id = q.request_id),
+l as (select vid, arg_max(vehicle_type, request_id) filter (request_id%3=0) as vt, arg_max(concat(owner_name, '/', cast(request_id as varchar)), request_id) filter (request_id%2=0) as ow from p group by 1)
+select vehicle_id, coalesce(vt, vehicle_type) as vehicle_type, coalesce(ow, owner_name) as owner_name from veh left join l on vid = vehicle_id""",
+    "audit_vehicle_changes": """
+select 'VEHICLE_UPDATE' as action, 'VEHICLE' as entity_type, cast(user_id as varchar) as entity_id, concat('Updated vehicle ', cast(user_id as varchar)) as details
+from texts where read_id%7=0 and user_id in (select vehicle_id from veh)
+union all select 'VEHICLE_DELETE', 'VEHICLE', cast(vehicle_id as varchar), concat('Deleted vehicle ', cast(vehicle_id as varchar), ' (', plate_number, ')') from veh
+where vehicle_id in (select user_id from texts where read_id%10=0)""",
     "transporter_ids": f"with {_IDS} select * from tr",
     "seed_idempotent": "select license_number, case when driver_id%2=0 then name else upper(name) end as name from drivers",
     "vehicle_register_batch": f"""

@@ -120,14 +120,35 @@ def number_registration(done: Registration, vehicles: DataFrame, transporters: D
     )
 
 
-def merge_patches(base: DataFrame, patches: DataFrame, key: str) -> DataFrame:
-    """Overwrite with the non-null fields of at most one patch per key."""
-    fields = [c for c in patches.columns if c != key]
+def merge_patches(base: DataFrame, patches: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """Overwrite with the non-null fields of the patches.
+
+    ``order`` names a column of ``patches`` that tells those of one key apart:
+    they apply one after the other, so of each field the last non-null value
+    counts.  Without it there is at most one patch per key.
+    """
+    fields = [c for c in patches.columns if c not in (key, order)]
+    if order:
+        last = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in fields]
+        patches = patches.groupBy(key).agg(*last)
     p = patches.select(key, *[F.col(c).alias(f"_new_{c}") for c in fields])
     merged = base.join(p, key, "left")
     return merged.withColumns({c: F.coalesce(f"_new_{c}", c) for c in fields}).select(*base.columns)
 
 
+def audit_vehicle_updates(vehicles: DataFrame, patches: DataFrame, at: Column) -> DataFrame:
+    """An audit row for every patch (vehicle_id) of a vehicle that exists."""
+    hit = patches.join(vehicles.select("vehicle_id").distinct(), "vehicle_id", "left_semi")
+    return audit_rows(hit, "VEHICLE_UPDATE", "VEHICLE", F.col("vehicle_id"), F.concat(F.lit("Updated vehicle "), F.col("vehicle_id").cast("string")), at)
+
+
+def audit_vehicle_deletes(vehicles: DataFrame, deleted: DataFrame, at: Column) -> DataFrame:
+    """An audit row for every vehicle (vehicle_id, plate_number) that ``deleted`` names; repeated names count once."""
+    hit = vehicles.join(deleted.select("vehicle_id").distinct(), "vehicle_id", "left_semi")
+    text = F.concat(F.lit("Deleted vehicle "), F.col("vehicle_id").cast("string"), F.lit(" ("), F.coalesce("plate_number", F.lit("None")), F.lit(")"))
+    return audit_rows(hit, "VEHICLE_DELETE", "VEHICLE", F.col("vehicle_id"), text, at)
+
+
 def delete_cascade(deleted: DataFrame, key: str, parents: DataFrame, owned: dict[str, DataFrame], linked: dict[str, tuple[DataFrame, str]]):
     """Delete parents and the rows they own; other references become null.
 
