@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from yardstream.functions.windows import micros
 from yardstream.sources.tables import scratch_dir
+from yardstream.streaming.buckets import KeyBucket, bucket_of
 from yardstream.streaming.running import run_batches, use_rocksdb
 
 
@@ -41,34 +41,27 @@ def gate_counts(stream: DataFrame, width: str = "1 hour", delay: str = "10 minut
     ).select("gate_name", F.col("w.start").cast("timestamp_ntz").alias("window_start"), F.col("w.end").cast("timestamp_ntz").alias("window_end"), "n", "exits")
 
 
-class _Overstay(StatefulProcessor):
-    """A timer per open trip, set to its expected departure."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.due = handle.getValueState("due", "due long")
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        changes = list(rows)
-        known = self.due.get()
-        if known:
-            self.handle.deleteTimer(known[0])
-        if any(r["is_closed"] for r in changes):
-            self.due.clear()
-        else:
-            due = max(r["due_us"] for r in changes) // 1000
-            self.due.update((due,))
-            self.handle.registerTimer(due)
-        return iter(())
+class _Overstay(KeyBucket):
+    """Per open trip its expected departure in milliseconds."""
+
+    def due(self, value: int) -> int:
+        return value - 1  # a departure at the watermark itself is due
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        known = self.due.get()
-        self.due.clear()
-        if known:
-            yield Row(trip_id=key[0], due_ms=known[0])
+    def change(self, keys: dict, rows: Iterator[Row]) -> Iterator[Row]:
+        opened, closed = {}, set()
+        for r in rows:
+            trip, due = r["trip_id"], r["due_us"]
+            if r["is_closed"]:
+                closed.add(trip)
+            elif due is not None:
+                opened[trip] = max(due // 1000, opened.get(trip, due // 1000))
+        keys.update(opened)
+        for trip in closed:
+            keys.pop(trip, None)
+        return iter(())
 
-    def close(self) -> None:
-        pass
+    def expire(self, keys: dict, key) -> Iterator[Row]:
+        yield Row(trip_id=key, due_ms=keys.pop(key))
 
 
 def overstay_timers(changes: DataFrame, delay: str = "0 seconds") -> DataFrame:
@@ -78,8 +71,8 @@ def overstay_timers(changes: DataFrame, delay: str = "0 seconds") -> DataFrame:
     """
     use_rocksdb(changes.sparkSession)
     timed = changes.withColumns({"event_time": F.col("ts").cast("timestamp"), "due_us": micros(F.col("expected_departure"))})
-    timed = timed.select("trip_id", "event_time", "due_us", "is_closed").withWatermark("event_time", delay)
-    fired = timed.groupBy("trip_id").transformWithState(
+    timed = timed.select("trip_id", "event_time", "due_us", "is_closed", bucket_of(F.col("trip_id")).alias("bucket")).withWatermark("event_time", delay)
+    fired = timed.groupBy("bucket").transformWithState(
         statefulProcessor=_Overstay(), outputStructType="trip_id long, due_ms long", outputMode="Append", timeMode="EventTime"
     )
     return fired.select("trip_id", F.timestamp_millis("due_ms").cast("timestamp_ntz").alias("due_at"), F.lit("Overstay").alias("alert_type"), F.lit("high").alias("severity"))

@@ -1,4 +1,4 @@
-"""Passages and trips on a stream: one state per plate."""
+"""Passages and trips on a stream: a state per plate, kept in buckets of plates."""
 
 from __future__ import annotations
 
@@ -6,11 +6,11 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
 from yardstream.functions.windows import micros
 from yardstream.operators.trips import CLOSED, progress_columns
+from yardstream.streaming.buckets import KeyBucket, bucket_of
 from yardstream.streaming.running import use_rocksdb
 
 #: What a passage does to a trip, beside the columns of the event; times in microseconds.
@@ -26,8 +26,8 @@ def _dwell(entry: int, left: int) -> int:
     return max(1, round((left - entry) / 60_000_000))
 
 
-class _PlateState(StatefulProcessor):
-    """Last accepted passage per direction, the stack of open trips, and the trip that the vehicle is on.
+class _Plates(KeyBucket):
+    """Per plate the last accepted passage of each direction, the stack of open trips, and the trip that the vehicle is on.
 
     The trip on top of the stack has the highest id.  It leaves the stack with
     the first event that touches it and is kept apart until the exit.
@@ -36,14 +36,18 @@ class _PlateState(StatefulProcessor):
     def __init__(self, window: int | None, impute: bool, columns: list[str]) -> None:
         self.window, self.impute, self.columns = window, impute, columns
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.last = handle.getValueState("last", "entry_at long, entry_id long, exit_at long, exit_id long")
-        self.waiting = handle.getListState("waiting", "trip_id long, status string, entry_us long")
-        self.current = handle.getValueState("current", "trip_ref long, is_auto boolean, status string, entry_us long, created_us long, entered boolean")
-
     def handleInitialState(self, key, initialState: Row, timerValues) -> None:
-        self.waiting.put([(t["trip_id"], t["status"], t["entry_us"]) for t in initialState["waiting"]])
+        self._save({p["plate"]: ({}, [(t["trip_id"], t["status"], t["entry_us"]) for t in p["waiting"]], None) for p in initialState["plates"]}, None)
+
+    def due(self, value: tuple) -> int | None:
+        seen = value[0]
+        return (max(at for at, _ in seen.values()) + self.window) // 1000 + 1 if seen else None
+
+    def expire(self, keys: dict, key) -> Iterator[Row]:
+        _, stack, trip = keys.pop(key)
+        if stack or trip:
+            keys[key] = {}, stack, trip
+        return iter(())
 
     def _accept(self, seen: dict, kind: str, at: int, event: int) -> int:
         """The passage that the event belongs to: itself, or an accepted one of the same direction not long before."""
@@ -55,52 +59,34 @@ class _PlateState(StatefulProcessor):
             return event
         return who
 
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        known = self.last.get() if self.window is not None else None
-        seen = {}
-        if known:
-            seen = {k: v for k, v in (("entry", (known[0], known[1])), ("exit", (known[2], known[3]))) if v[0] is not None}
-        before = dict(seen)
-        stack = [tuple(t) for t in self.waiting.get()] if key[1] else []
-        trip = self.current.get() if key[1] else None
-        given_stack, given_trip = len(stack), trip
+    def change(self, keys: dict, rows: Iterator[Row]) -> Iterator[Row]:
         for r in sorted(rows, key=lambda r: (r["t_us"] is not None, r["t_us"], r["event_id"])):
             at, event, kind, move = r["t_us"], r["event_id"], r["event_type"], _NO_MOVE
-            accepted = event if at is None else self._accept(seen, kind, at, event)
-            if key[1] and at is not None and accepted == event:
-                enters = kind == "entry" and r["decision"] == "allow"
-                if trip is None and stack and (enters or kind == "exit"):
-                    ref, status, entry = stack.pop()
-                    trip = (ref, False, status, entry, None, False)
-                if enters:
-                    ref, auto, status, _, created, entered = trip or (-event, True, "scheduled", None, at, False)
-                    trip = (ref, auto, status, at, created, True)
-                    move = (ref, auto, status, status if not entered else None, "inside_plant", at, None, created, None)
-                elif kind == "exit" and trip:
-                    ref, auto, status, entry, created, entered = trip
-                    dwell = _dwell(entry, at) if entry is not None else 25 if self.impute else None
-                    move = (ref, auto, status, "inside_plant" if entered else status, "completed", entry, at, created, dwell)
-                    trip = None
-                elif kind == "exit":
-                    move = (*_NO_MOVE[:8], 30 if self.impute else None)
+            accepted = event
+            if r["has_plate"] and at is not None:
+                seen, stack, trip = keys.get(r["plate_number"], ({}, [], None))
+                accepted = self._accept(seen, kind, at, event)
+                if accepted == event:
+                    enters = kind == "entry" and r["decision"] == "allow"
+                    if trip is None and stack and (enters or kind == "exit"):
+                        ref, status, entry = stack.pop()
+                        trip = (ref, False, status, entry, None, False)
+                    if enters:
+                        ref, auto, status, _, created, entered = trip or (-event, True, "scheduled", None, at, False)
+                        trip = (ref, auto, status, at, created, True)
+                        move = (ref, auto, status, status if not entered else None, "inside_plant", at, None, created, None)
+                    elif kind == "exit" and trip:
+                        ref, auto, status, entry, created, entered = trip
+                        dwell = _dwell(entry, at) if entry is not None else 25 if self.impute else None
+                        move = (ref, auto, status, "inside_plant" if entered else status, "completed", entry, at, created, dwell)
+                        trip = None
+                    elif kind == "exit":
+                        move = (*_NO_MOVE[:8], 30 if self.impute else None)
+                if seen or stack or trip:
+                    keys[r["plate_number"]] = seen, stack, trip
+                else:
+                    keys.pop(r["plate_number"], None)
             yield Row(**{c: r[c] for c in self.columns}, **dict(zip(_MOVE_NAMES, (accepted, *move))))
-        if seen != before:
-            self.last.update((*seen.get("entry", (None, None)), *seen.get("exit", (None, None))))
-            self.handle.registerTimer((max(v[0] for v in seen.values()) + self.window) // 1000 + 1)
-        if len(stack) != given_stack:
-            self.waiting.put(stack) if stack else self.waiting.clear()
-        if trip != given_trip:
-            self.current.update(trip) if trip else self.current.clear()
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        known = self.last.get()
-        newest = max((t for t in (known[0], known[2]) if t is not None), default=None) if known else None
-        if newest is not None and (newest + self.window) // 1000 + 1 <= expiredTimerInfo.getExpiryTimeInMs():
-            self.last.clear()
-        return iter(())
-
-    def close(self) -> None:
-        pass
 
 
 _MOVE_NAMES = [f.split()[0] for f in _MOVE.split(", ")]
@@ -120,8 +106,8 @@ def trip_moves(
     ``to_status``, ``entry_us``, ``exit_us``, ``created_us`` for passages that
     move a trip, with ``from_status`` where its status changes;
     ``dwell_minutes`` for exits.  Plates that are null, '' or UNKNOWN have
-    neither duplicates nor trips and get a key of their own; so have events
-    without a time, except that they keep their plate's key.
+    neither duplicates nor trips and are spread by their id; events without a
+    time have none either.
 
     Events of a plate count in the order (ts, event_id) inside a micro-batch
     and in the order of arrival between them.  A micro-batch should stay within
@@ -132,14 +118,16 @@ def trip_moves(
     free = plate.isNull() | plate.isin("", "UNKNOWN")
     timed = events.withColumns({
         "event_time": F.col("ts").cast("timestamp"), "t_us": micros(F.col("ts")),
-        "state_key": F.when(free, F.concat(F.lit("#"), F.col("event_id").cast("string"))).otherwise(plate), "has_plate": ~free,
+        "has_plate": ~free, "bucket": bucket_of(F.when(~free, plate), F.when(free, F.col("event_id"))),
     }).withWatermark("event_time", delay)
-    opened = trips.filter(~F.col("status").isin(*CLOSED) & plate.isNotNull() & ~plate.isin("", "UNKNOWN")).groupBy(plate.alias("state_key"), F.lit(True).alias("has_plate")).agg(
+    no_event = F.lit(None).cast(events.schema["event_id"].dataType)
+    opened = trips.filter(~F.col("status").isin(*CLOSED) & plate.isNotNull() & ~plate.isin("", "UNKNOWN")).groupBy(plate.alias("plate")).agg(
         F.sort_array(F.collect_list(F.struct("trip_id", "status", micros(F.col("actual_entry_time")).alias("entry_us")))).alias("waiting"))
+    opened = opened.groupBy(bucket_of(F.col("plate"), no_event).alias("bucket")).agg(F.collect_list(F.struct("plate", "waiting")).alias("plates"))
     window = None if dedup_seconds is None else dedup_seconds * 1_000_000
-    return timed.groupBy("state_key", "has_plate").transformWithState(
-        statefulProcessor=_PlateState(window, impute_dwell, columns), outputStructType=StructType([*events.schema.fields, *_move_fields()]),
-        outputMode="Append", timeMode="EventTime", initialState=opened.groupBy("state_key", "has_plate"),
+    return timed.groupBy("bucket").transformWithState(
+        statefulProcessor=_Plates(window, impute_dwell, columns), outputStructType=StructType([*events.schema.fields, *_move_fields()]),
+        outputMode="Append", timeMode="EventTime", initialState=opened.groupBy("bucket"),
     )
 
 
