@@ -6,6 +6,17 @@ import os
 
 from pyspark.sql import SparkSession
 
+#: Partitions a shuffle starts with.  AQE joins small ones up to its advisory size, but splits none of an
+#: aggregation or window: with few of them a task's share, and its memory, grows with the input.
+SHUFFLE_START = 2000
+
+
+def fine_shuffles(spark: SparkSession) -> None:
+    """Let shuffles start with many partitions that AQE joins by size; a larger number of the session stays."""
+    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    given = max(int(spark.conf.get(k, None) or 0) for k in (key, "spark.sql.shuffle.partitions"))
+    spark.conf.set(key, str(max(SHUFFLE_START, given)))
+
 
 def build_session(app_name: str = "yardstream", master: str | None = None, **conf: str) -> SparkSession:
     """Create (or reuse) a session with the settings the operators assume.
