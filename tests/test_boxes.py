@@ -200,3 +200,41 @@ def test_reading_budget_against_a_plain_scan(spark):
         want.append((t, f, read))
     assert sorted(map(tuple, T.reading_budget(df).select("track_id", "frame_number", "run_ocr").collect())) == sorted(want)
     assert sum(r for _, _, r in want) > 80
+
+
+def test_suppression_compares_many_rows_at_once(monkeypatch):
+    """Few array calls for many boxes, and the result of the plain rule, across frames, batches and pieces."""
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    frame = np.sort(np.concatenate([rng.integers(0, 300, 3000), np.full(2600, 150)]))
+    xy = rng.integers(0, 300, (len(frame), 2)).astype(float)
+    rows = pd.DataFrame({"frame_id": frame, "x1": xy[:, 0], "y1": xy[:, 1], "x2": xy[:, 0] + rng.integers(0, 90, len(frame)), "y2": xy[:, 1] + rng.integers(1, 60, len(frame))})
+
+    def plain(least, inclusive, contain):
+        kept, out = {}, []
+        for f, *b in rows.itertuples(index=False):
+            good = True
+            for a in kept.setdefault(f, []):
+                w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
+                inter = w * h if w > 0 and h > 0 else 0.0
+                p, q = (max(1.0, (c[2] - c[0]) * (c[3] - c[1])) for c in (b, a))
+                iou = inter / (p + q - inter)
+                if inter > 0 and ((iou >= least if inclusive else iou > least) or (contain is not None and inter / min(p, q) >= contain)):
+                    good = False
+                    break
+            if good:
+                kept[f].append(b)
+            out.append(good)
+        return rows[out]
+
+    for limits in ((0.35, True, 0.5), (0.5, False, None)):
+        cuts = [0, 1, 700, 1500, 4100, len(rows)]
+        got = pd.concat(B._suppress_scan(["frame_id"], *limits)(rows.iloc[a:b] for a, b in zip(cuts, cuts[1:])))
+        assert got.equals(plain(*limits))
+    calls, real = [], np.minimum
+    monkeypatch.setattr(np, "minimum", lambda *a, **k: calls.append(1) or real(*a, **k))
+    few = rows[rows.frame_id < 100]
+    list(B._suppress_scan(["frame_id"], 0.35, True, 0.5)([few]))
+    assert len(calls) < len(few) / 50

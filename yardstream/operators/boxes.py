@@ -121,32 +121,62 @@ def plates_in_vehicles(plates: DataFrame, vehicles: DataFrame, margin: float = 2
 
 
 # --- suppression -----------------------------------------------------------------
+#: Rows that are compared among themselves at once.
+_AT_ONCE = 1024
+
+
 def _suppress_scan(keys: list[str], iou_limit: float, iou_inclusive: bool, contain_limit: float | None):
-    """Greedy suppression of boxes arriving by frame and falling confidence."""
+    """Greedy suppression of boxes arriving by frame and falling confidence.
+
+    The overlaps of many rows are computed at once; only pairs that hit are looked at one by one.
+    """
+
+    def hits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether boxes ``a`` (earlier) suppress boxes ``b``, row by row."""
+        w = np.minimum(a[:, 2], b[:, 2]) - np.maximum(a[:, 0], b[:, 0])
+        h = np.minimum(a[:, 3], b[:, 3]) - np.maximum(a[:, 1], b[:, 1])
+        inter = np.where((w > 0) & (h > 0), w * h, 0.0)
+        area = np.maximum(1.0, (b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1]))
+        areas = np.maximum(1.0, (a[:, 2] - a[:, 0]) * (a[:, 3] - a[:, 1]))
+        iou = inter / (area + areas - inter)
+        hit = iou >= iou_limit if iou_inclusive else iou > iou_limit
+        if contain_limit is not None:
+            hit |= inter / np.minimum(area, areas) >= contain_limit
+        return hit & (inter > 0)
+
+    def settle(coords: np.ndarray, number: np.ndarray, kept: np.ndarray) -> np.ndarray:
+        """Which rows survive; ``number`` counts the frames, and ``kept`` are survivors of the first one."""
+        out = np.ones(len(coords), dtype=bool)
+        head = int(np.searchsorted(number, number[0], "right"))
+        for low in range(0, len(kept), _AT_ONCE):
+            part = kept[low : low + _AT_ONCE]
+            for i in range(0, head, _AT_ONCE):
+                rows = coords[i : min(i + _AT_ONCE, head)]
+                met = hits(np.tile(part, (len(rows), 1)), np.repeat(rows, len(part), axis=0))
+                out[i : i + len(rows)] &= ~met.reshape(len(rows), len(part)).any(axis=1)
+        first = np.searchsorted(number, number)
+        earlier = np.arange(len(coords)) - first
+        late = np.repeat(np.arange(len(coords)), earlier)
+        early = np.arange(len(late)) - np.repeat(np.cumsum(earlier) - earlier, earlier) + np.repeat(first, earlier)
+        met = hits(coords[early], coords[late])
+        for i, j in zip(early[met].tolist(), late[met].tolist()):  # by rising j: an earlier row is settled before it counts
+            if out[i]:
+                out[j] = False
+        return out
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, kept = None, np.empty((0, 4))
         for pdf in batches:
-            coords = pdf[["x1", "y1", "x2", "y2"]].to_numpy(dtype=float)
-            frames = list(zip(*(pdf[k].to_list() for k in keys)))
-            flags = np.zeros(len(pdf), dtype=bool)
-            for i, frame in enumerate(frames):
-                if frame != current:
-                    current, kept = frame, np.empty((0, 4))
-                b = coords[i]
-                w = np.minimum(kept[:, 2], b[2]) - np.maximum(kept[:, 0], b[0])
-                h = np.minimum(kept[:, 3], b[3]) - np.maximum(kept[:, 1], b[1])
-                inter = np.where((w > 0) & (h > 0), w * h, 0.0)
-                area = max(1.0, (b[2] - b[0]) * (b[3] - b[1]))
-                areas = np.maximum(1.0, (kept[:, 2] - kept[:, 0]) * (kept[:, 3] - kept[:, 1]))
-                iou = inter / (area + areas - inter)
-                hit = iou >= iou_limit if iou_inclusive else iou > iou_limit
-                if contain_limit is not None:
-                    hit |= inter / np.minimum(area, areas) >= contain_limit
-                if not (hit & (inter > 0)).any():
-                    flags[i] = True
-                    kept = np.vstack([kept, b])
-            yield pdf[flags]
+            for low in range(0, len(pdf), _AT_ONCE):
+                part = pdf.iloc[low : low + _AT_ONCE]
+                coords = part[["x1", "y1", "x2", "y2"]].to_numpy(dtype=float)
+                frames = list(zip(*(part[k].to_list() for k in keys)))
+                number = np.cumsum([0, *(a != b for a, b in zip(frames, frames[1:]))])
+                flags = settle(coords, number, kept if frames[0] == current else np.empty((0, 4)))
+                last = int(np.searchsorted(number, number[-1]))
+                before = [kept] if frames[-1] == current and last == 0 else []
+                current, kept = frames[-1], np.concatenate([*before, coords[last:][flags[last:]]])
+                yield part[flags]
 
     return scan
 
