@@ -88,6 +88,26 @@ def test_vote_forms_agree(spark, small):
     assert grouped == {r.track_id: r.voted for r in arrays.collect() if r.voted is not None}
 
 
+def test_reads_are_shuffled_once(spark):
+    rows = [(n % 3, n, "MH12AB1234", 0.9, 0.9, "car") for n in range(9)]
+    df = spark.createDataFrame(rows, "track_id long, frame_number int, raw_text string, ocr_confidence double, plate_confidence double, vehicle_class string")
+    plan = X.fuse_tracks(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 4  # reads, classes, and both where the results meet
+
+
+def test_without_detail_the_rest_is_the_same(spark):
+    rows = [(t, f, p, c, 0.8, k) for t in (1, 2, None) for f, (p, c, k) in enumerate([("MH12AB1234", 0.9, "car"), ("MH12A81234", 0.7, "bus"), ("KA05ZZ1111", 0.6, ""), ("x", 0.5, "truck"), ("MH12AB1234", None, None)])]
+    rows += [(4, 1, "x", 0.9, 0.9, "bus"), (4, 2, None, None, None, None)]
+    df = spark.createDataFrame(rows, "track_id long, frame_number int, raw_text string, ocr_confidence double, plate_confidence double, vehicle_class string")
+    whole, short = X.fuse_tracks(df), X.fuse_tracks(df, detail=False)
+    assert [c for c in whole.columns if c not in short.columns] == ["supporting_predictions", "frame_predictions"]
+    assert sorted(map(str, whole.select(*short.columns).collect())) == sorted(map(str, short.collect()))
+    got = {r.track_id: r for r in whole.collect()}
+    assert sorted(got, key=str) == [1, 2, 4, None]
+    assert (got[None].frame_count, got[None].vehicle_type, len(got[None].frame_predictions)) == (4, "truck", 4)
+    assert (got[4].frame_count, got[4].status, got[4].vehicle_type, got[4].supporting_predictions, got[4].all_candidates) == (0, "pending", "bus", [], [])
+
+
 def test_clip_groups(spark):
     rows = [(1, 1, "MH12AB1234", 0.6, "car"), (1, 2, "MH12AB1Z34", 0.9, "truck"), (1, 3, None, 0.3, "truck"), (1, 4, "KA05ZZ1111", 0.7, "car"), (1, 5, "MH12AB1234", 0.8, None),
             (2, 1, None, 0.3, None)]

@@ -12,8 +12,8 @@ from yardstream.operators.recognition import frame_quality
 from yardstream.sources import derived as D
 
 
-def _fused(s, d):
-    return X.fuse_tracks(D.frames(s, d))
+def _fused(s, d, detail=False):
+    return X.fuse_tracks(D.frames(s, d), detail=detail)
 
 
 _SCALARS = ("track_id", "plate_number", "display_plate", "status", "final_confidence", "frame_count", "evidence_count", "agreement_ratio", "is_finalized", "vehicle_type")
@@ -26,7 +26,7 @@ def _candidates(s, d):
 
 def _evidence(s, d):
     p = F.explode("supporting_predictions").alias("p")
-    return _fused(s, d).select("track_id", p).select("track_id", "p.plate", "p.confidence", "p.frame", "p.is_valid")
+    return _fused(s, d, detail=True).select("track_id", p).select("track_id", "p.plate", "p.confidence", "p.frame", "p.is_valid")
 
 
 def _vote(s, d):
@@ -74,7 +74,7 @@ QUERIES = {
     "track_fusion": lambda s, d: _fused(s, d).select(*_SCALARS),
     "track_fusion_candidates": _candidates,
     "track_fusion_evidence": _evidence,
-    "track_fusion_live": lambda s, d: X.fuse_tracks(D.frames(s, d), 10, 3, 0.60, 0.60, force=False, strict_evidence=True).select(*_SCALARS),
+    "track_fusion_live": lambda s, d: X.fuse_tracks(D.frames(s, d), 10, 3, 0.60, 0.60, force=False, strict_evidence=True, detail=False).select(*_SCALARS),
     "variant_fusion": lambda s, d: X.fuse_variants(_variants(s, d), ["crop_id"]),
     "frame_fusion_browser": _browser(True),
     "frame_fusion_browser_single_swap": _browser(False),
