@@ -19,6 +19,21 @@ SHINGLE, SEED, RADIUS = 4, 42, 4
 BUCKET = 16_384
 
 
+def majority_bits(values: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64 bits for each run of ``size`` hashes: those set in over half of the run (no hash: 0)."""
+    out = np.zeros(len(size), np.uint64)
+    ones = np.zeros((len(size), 64), np.int64)
+    step, owner = 1 << 16, np.repeat(np.arange(len(size)), size)
+    for low in range(0, len(values), step):  # bounded memory: 64 bytes for each shingle of a step
+        part, who = values[low : low + step], owner[low : low + step]
+        bits = np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        first = np.flatnonzero(np.diff(who, prepend=-1))
+        ones[who[first]] += np.add.reduceat(bits, first, axis=0, dtype=np.int32)
+    for bit in range(64):
+        out |= (2 * ones[:, bit] > size).astype(np.uint64) << np.uint64(bit)
+    return out
+
+
 def simhash_of(texts: list[bytes | None]) -> np.ndarray:
     """64-bit SimHash of UTF-8 texts over 4-word shingles, repeats counted (no word: 0)."""
     digest, hashes, sizes = xxhash.xxh64_intdigest, [], []
@@ -34,18 +49,7 @@ def simhash_of(texts: list[bytes | None]) -> np.ndarray:
         ends = list(accumulate((len(w) + 1 for w in words), initial=0))
         hashes += [digest(line[low : high - 1], SEED) for low, high in zip(ends, ends[SHINGLE:])]
         sizes.append(n - SHINGLE + 1)
-    values, size = np.array(hashes, np.uint64), np.array(sizes, np.int64)
-    out = np.zeros(len(texts), np.uint64)
-    ones = np.zeros((len(texts), 64), np.int64)
-    step, owner = 1 << 16, np.repeat(np.arange(len(texts)), size)
-    for low in range(0, len(values), step):  # bounded memory: 64 bytes for each shingle of a step
-        part, who = values[low : low + step], owner[low : low + step]
-        bits = np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        first = np.flatnonzero(np.diff(who, prepend=-1))
-        ones[who[first]] += np.add.reduceat(bits, first, axis=0, dtype=np.int32)
-    for bit in range(64):
-        out |= (2 * ones[:, bit] > size).astype(np.uint64) << np.uint64(bit)
-    return out
+    return majority_bits(np.array(hashes, np.uint64), np.array(sizes, np.int64))
 
 
 def _add_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
