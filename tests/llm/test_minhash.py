@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import pytest
 import xxhash
@@ -106,3 +107,33 @@ def test_likeness_estimates_jaccard(docs_of, spark):
         df = spark.createDataFrame([(" ".join(base), " ".join(other))], "a string, b string")
         got = df.select(M.likeness(M.fingerprint(F.col("a")), M.fingerprint(F.col("b"))).alias("x")).first().x
         assert abs(got - true) < 0.12
+
+
+def shuffled_bytes(spark, run):
+    """Bytes that the stages of ``run()`` write to shuffles."""
+    sc = spark.sparkContext
+    store, none = sc._jsc.sc().statusStore(), sc._gateway.new_array(spark._jvm.double, 0)
+
+    def written():
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = store.stageList(None, False, False, none, None)
+        return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteBytes() for i in range(stages.size())}
+
+    before = written()
+    run()
+    return sum(b for stage, b in written().items() if stage not in before)
+
+
+def test_each_text_is_shuffled_once(spark, docs_of):
+    """Random texts longer than a compressed block, so that compression does not hide a second copy."""
+    draw = random.Random(6)
+    rows = [(i, " ".join("".join(draw.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=15)) for _ in range(8_000))) for i in range(40)]
+    df = docs_of(rows)
+    size = shuffled_bytes(spark, lambda: df.repartition(8, "doc_id").write.format("noop").mode("overwrite").save())
+    assert size > 1_000_000
+    assert shuffled_bytes(spark, lambda: M.fingerprint_documents(df).write.format("noop").mode("overwrite").save()) < 1.5 * size
+
+
+def test_a_next_row_without_text_is_still_the_next(docs_of):
+    got = {r.doc_id: r.following.text for r in M.with_next(docs_of([(1, "a"), (2, None), (3, "c")]).select("doc_id", "text"), {}).collect()}
+    assert got == {3: None, 2: "a", 1: "c"}

@@ -99,6 +99,7 @@ def with_next(documents: DataFrame, derived: dict[str, Column]) -> DataFrame:
     Rows are dealt out by slices of doc_id: its quantiles, evenly cut again in
     large tables, so dense and sparse stretches make slices alike.  They are
     ordered within a slice; the first row of each slice serves the slice before.
+    This is the one shuffle of the texts, and it carries each of them once.
     """
     n = documents.count()
     k = min(256, n // SLICE_ROWS + 1)
@@ -115,16 +116,18 @@ def with_next(documents: DataFrame, derived: dict[str, Column]) -> DataFrame:
     number = F.when(F.col("doc_id").isNull(), F.lit((len(at) + 2) * fine)).otherwise((len(at) + 1 - F.col("_q")) * fine + (fine - 1 - inside)).cast("long")
     rows = documents.withColumn("_q", q).withColumns({"_slice": number, "_tie": F.xxhash64("text")}).drop("_q")
     window = Window.partitionBy("_slice").orderBy(F.col("doc_id").desc_nulls_last(), "_tie", "text")
-    value = F.struct("text", *derived)
+    value = lambda of: F.struct(*[of(c).alias(c) for c in ("text", *derived)])
     full = rows.withColumns(derived)
-    # Heads are found by their ids alone; only their own texts are read again.
+    # Heads are found by their ids alone; the broadcast of these, one a slice, keeps the other texts out of a shuffle.
     keys = rows.groupBy("_slice").agg(F.max("doc_id").alias("_key")).withColumnRenamed("_slice", "_of")
-    heads = rows.join(keys, (F.col("_slice") == F.col("_of")) & F.col("doc_id").eqNullSafe(F.col("_key"))).groupBy("_slice").agg(F.min(F.struct("_tie", "text")).alias("_h"))
-    heads = staged(heads.select("_slice", F.col("_h.text").alias("text")).withColumns(derived).select("_slice", value.alias("_head")), "slice-heads")
+    heads = rows.join(F.broadcast(keys), (F.col("_slice") == F.col("_of")) & F.col("doc_id").eqNullSafe(F.col("_key"))).groupBy("_slice").agg(F.min(F.struct("_tie", "text")).alias("_h"))
+    heads = staged(heads.select("_slice", F.col("_h.text").alias("text")).withColumns(derived).select("_slice", value(F.col).alias("_head")), "slice-heads")
     order = Window.orderBy("_slice")
     turn = heads.select("_slice").withColumn("_next", F.coalesce(F.lead("_slice").over(order), F.first("_slice").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
     border = turn.join(heads.withColumnRenamed("_slice", "_next"), "_next").select("_slice", "_head")
-    return full.withColumn("_in", F.lead(value).over(window)).join(border, "_slice").withColumn("following", F.coalesce("_in", "_head")).drop("_slice", "_tie", "_in", "_head")
+    # Column by column: a struct to lead would be made before the shuffle, and carry each text a second time.
+    later = F.when(F.lead("_tie").over(window).isNotNull(), value(lambda c: F.lead(c).over(window)))
+    return full.withColumn("_in", later).join(border, "_slice").withColumn("following", F.coalesce("_in", "_head")).drop("_slice", "_tie", "_in", "_head")
 
 
 def edited_text(text: Column, other: Column) -> Column:
