@@ -116,3 +116,25 @@ def test_clip_groups(spark):
     assert (got[1].plate, got[1].confidence, got[1].frame_agreement, got[1].vehicle_type) == ("MH12AB1234", round(2.3 / 3, 6), 0.6, "car")
     assert got[1].is_certain
     assert (got[2].plate, got[2].confidence, got[2].is_certain) == ("PLATE_UNCERTAIN", 0.0, False)
+
+
+def test_vote_needs_no_shuffle_of_its_own(spark, small):
+    """char_vote reads the lineitems once, and shuffles them by vehicle and by track only."""
+    from yardstream.bindings.fusion import QUERIES
+
+    key, before = "spark.sql.autoBroadcastJoinThreshold", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set(key, "-1")
+        plan = QUERIES["char_vote"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(key, before)
+    assert plan.count("lineitem.parquet") == 1
+    assert plan.count("Exchange hashpartitioning") == 6  # lineitems and orders twice, vehicles for each
+
+
+def test_vote_takes_the_most_common_length(spark):
+    rows = [(1, "MH12AB1234", 1, 0.9, 1), (1, "MH12A81234", 1, 0.5, 2), (1, "INDMH12AB1234", 1, 0.9, 3), (2, "KA05ZZ11", 1, 0.9, 1), (2, "KA05ZZ1111", 1, 0.9, 2),
+            (3, "AB12", 9, 0.9, 1), (3, None, 9, 0.9, 2), (3, "DL01AA00", 1, 0.1, 3), (4, "AB12", 2, 0.9, 1), (None, "MH12AB1234", 1, 0.2, 1), (None, "MH12JB1234", 1, 0.2, 2)]
+    df = spark.createDataFrame(rows, "track_id long, plate string, n long, weight double, seen int")
+    got = {r.track_id: r.voted for r in X.vote_positions(df, ["track_id"]).collect()}
+    assert got == {1: "MH12AB1234", 2: "KA05ZZ11", 3: "DL01AA00", None: "MH12AB1234"}
