@@ -11,6 +11,7 @@ from pyspark.sql.types import StructType
 from yardstream.functions.windows import micros
 from yardstream.operators.trips import CLOSED, progress_columns
 from yardstream.streaming.buckets import KeyBucket, bucket_of
+from yardstream.streaming.packed import packed, unpacked
 from yardstream.streaming.running import use_rocksdb
 
 #: What a passage does to a trip, beside the columns of the event; times in microseconds.
@@ -33,8 +34,8 @@ class _Plates(KeyBucket):
     the first event that touches it and is kept apart until the exit.
     """
 
-    def __init__(self, window: int | None, impute: bool, columns: list[str]) -> None:
-        self.window, self.impute, self.columns = window, impute, columns
+    def __init__(self, window: int | None, impute: bool) -> None:
+        self.window, self.impute = window, impute
 
     def handleInitialState(self, key, initialState: Row, timerValues) -> None:
         self._save({p["plate"]: ({}, [(t["trip_id"], t["status"], t["entry_us"]) for t in p["waiting"]], None) for p in initialState["plates"]}, None)
@@ -60,14 +61,13 @@ class _Plates(KeyBucket):
         return who
 
     def change(self, keys: dict, rows: Iterator[Row]) -> Iterator[Row]:
-        for r in sorted(rows, key=lambda r: (r["t_us"] is not None, r["t_us"], r["event_id"])):
-            at, event, kind, move = r["t_us"], r["event_id"], r["event_type"], _NO_MOVE
+        for _, at, _, event, has_plate, enters, kind, plate, passed in sorted(map(_step, rows), key=lambda r: r[:4]):
+            move = _NO_MOVE
             accepted = event
-            if r["has_plate"] and at is not None:
-                seen, stack, trip = keys.get(r["plate_number"], ({}, [], None))
+            if has_plate and at is not None:
+                seen, stack, trip = keys.get(plate, ({}, [], None))
                 accepted = self._accept(seen, kind, at, event)
                 if accepted == event:
-                    enters = kind == "entry" and r["decision"] == "allow"
                     if trip is None and stack and (enters or kind == "exit"):
                         ref, status, entry = stack.pop()
                         trip = (ref, False, status, entry, None, False)
@@ -83,13 +83,20 @@ class _Plates(KeyBucket):
                     elif kind == "exit":
                         move = (*_NO_MOVE[:8], 30 if self.impute else None)
                 if seen or stack or trip:
-                    keys[r["plate_number"]] = seen, stack, trip
+                    keys[plate] = seen, stack, trip
                 else:
-                    keys.pop(r["plate_number"], None)
-            yield Row(**{c: r[c] for c in self.columns}, **dict(zip(_MOVE_NAMES, (accepted, *move))))
+                    keys.pop(plate, None)
+            yield _MOVED(passed, accepted, *move)
 
 
 _MOVE_NAMES = [f.split()[0] for f in _MOVE.split(", ")]
+_MOVED = Row("passed", *_MOVE_NAMES)
+
+
+def _step(r: Row) -> tuple:
+    """What the state needs of an event (``step``, see ``trip_moves``), with its plate and packed columns; times and ids that are null come first."""
+    flags, at, event, *kind = r["step"].split(" ", 3)
+    return bool(at), int(at) if at else None, bool(event), int(event) if event else None, flags[0] == "1", flags[1] == "1", *(kind or [None]), r["plate"], r["passed"]
 
 
 def trip_moves(
@@ -116,23 +123,24 @@ def trip_moves(
     use_rocksdb(events.sparkSession)
     plate, columns = F.col("plate_number"), events.columns
     free = plate.isNull() | plate.isin("", "UNKNOWN")
-    timed = events.withColumns({
-        "event_time": F.col("ts").cast("timestamp"), "t_us": micros(F.col("ts")),
-        "has_plate": ~free, "bucket": bucket_of(F.when(~free, plate), F.when(free, F.col("event_id"))),
-    }).withWatermark("event_time", delay)
+    text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    flag = lambda c: F.when(c, "1").otherwise("0")
+    enters = (F.col("event_type") == "entry") & (F.col("decision") == "allow")
+    step = F.concat(flag(~free), flag(enters), F.lit(" "), text(micros(F.col("ts"))), F.lit(" "), text(F.col("event_id")), F.coalesce(F.concat(F.lit(" "), F.col("event_type")), F.lit("")))
+    timed = events.select(
+        bucket_of(F.when(~free, plate), F.when(free, F.col("event_id"))).alias("bucket"), F.col("ts").cast("timestamp").alias("event_time"),
+        step.alias("step"), plate.alias("plate"), packed(columns).alias("passed"),
+    ).withWatermark("event_time", delay)
     no_event = F.lit(None).cast(events.schema["event_id"].dataType)
     opened = trips.filter(~F.col("status").isin(*CLOSED) & plate.isNotNull() & ~plate.isin("", "UNKNOWN")).groupBy(plate.alias("plate")).agg(
         F.sort_array(F.collect_list(F.struct("trip_id", "status", micros(F.col("actual_entry_time")).alias("entry_us")))).alias("waiting"))
     opened = opened.groupBy(bucket_of(F.col("plate"), no_event).alias("bucket")).agg(F.collect_list(F.struct("plate", "waiting")).alias("plates"))
     window = None if dedup_seconds is None else dedup_seconds * 1_000_000
-    return timed.groupBy("bucket").transformWithState(
-        statefulProcessor=_Plates(window, impute_dwell, columns), outputStructType=StructType([*events.schema.fields, *_move_fields()]),
+    moves = timed.groupBy("bucket").transformWithState(
+        statefulProcessor=_Plates(window, impute_dwell), outputStructType=StructType.fromDDL(f"passed string, {_MOVE}"),
         outputMode="Append", timeMode="EventTime", initialState=opened.groupBy("bucket"),
     )
-
-
-def _move_fields():
-    return StructType.fromDDL(_MOVE).fields
+    return moves.select(unpacked(F.col("passed"), events.schema).alias("passed"), *_MOVE_NAMES).select("passed.*", *_MOVE_NAMES)
 
 
 def _time(us: str) -> Column:
